@@ -139,7 +139,7 @@ def has_user_value() -> Column:
 def classified(elements: DataFrame, policy: dict[str, bool] | None = None) -> DataFrame:
     """elements with `purpose` (categories), `values` (hits of the text), `control` (categories of a typed value) and `level`."""
     is_field = F.col("tag").isin(*CONTROLS)
-    hay = haystack(attr("aria-label"), attr("name"), attr("id"), attr("placeholder"), attr("autocomplete"), attr("title"), F.col("name"), F.coalesce("nearby", F.lit("")))
+    hay = haystack(attr("aria-label"), attr("name"), attr("id"), attr("placeholder"), attr("autocomplete"), attr("title"), F.col("name"))
     purpose = catalog.matching(is_field, input_type(), attr("autocomplete"), hay, policy)
     context = F.concat_ws(" ", hay, F.col("nearby"))
     text = F.when(is_field, F.lit("")).otherwise(F.when(F.length("direct_text") > F.length("name"), F.col("direct_text")).otherwise(F.col("name")))
