@@ -9,8 +9,8 @@ share, so a start is embedded once for items of every length.  A key met by an i
 alignment, and the semi-global edit distance between the item and the aligned passage decides.
 
 Recall: with a share e of edited words, a key agrees with probability of about (1 - e) ** (2 * SAMPLED) at
-least; an item of n words has up to n - 8 starts and WALKS keys at each, so that with e = 0.2, n = 15 and
-dependence between starts ignored 1 - (1 - 0.17) ** 56 > 0.99 of the passages are met.
+least; an item of n words has about n - 9 starts and WALKS keys at each, so that with e = 0.2, n = 15 and
+dependence between starts ignored 0.91 of the passages share the two keys that are NEEDED, with n = 37 all but 1e-6.
 
 Defined results: null and wordless texts and items meet nothing; items under `MIN_WORDS` words are only found
 as exact word sequences; repeated rows give repeated results; equal items are found one by one.
@@ -18,28 +18,29 @@ as exact word sequences; repeated rows give repeated results; equal items are fo
 
 from __future__ import annotations
 
-import math
 import re
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pallium.llm.common import slices
 
-WALKS = 8
-STEPS = 16
-SAMPLED = 4
+WALKS = 6
+STEPS = 20
+SAMPLED = 5
 SIMILARITY = 0.8
 MIN_WORDS = 10
+#: Keys that a text and an item must share; fewer where the item has fewer.
+NEEDED = 2
+#: Different words that an item's key must hold.
+LEAST_WORDS = 4
 SEED = 7
 #: Items of one pass over the documents; more items mean more passes, so that a task's tables stay small.
 ITEMS_A_PASS = 20_000
 _WORD = re.compile(r"\w+")
-_MEMO = 400_000
 _TABLE_BITS = 20
 
 
@@ -52,28 +53,19 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multipliers of the walks, their sampled steps, and multipliers that mix a key."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1, 1 << 63, WALKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    steps = np.array([np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(WALKS)])
+    each = STEPS // SAMPLED  # one step of each part of the walk, so that a key holds different words
+    steps = np.arange(SAMPLED) * each + rng.integers(0, each, (WALKS, SAMPLED))
     return odd, steps, rng.integers(1, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-class Hashes:
-    """64-bit hashes of words, remembered up to a bound."""
+def hashes_of(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of words. Only one task's tables and texts are held together, and Spark gives all workers one hash seed."""
+    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
 
-    def __init__(self):
-        self.memo: dict[str, int] = {}
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        new = {w for w in set(tokens) if w not in self.memo}
-        if len(self.memo) + len(new) > _MEMO:
-            self.memo = {}
-            new = set(tokens)
-        for w in new:
-            self.memo[w] = xxhash.xxh64_intdigest(w, SEED)
-        return np.fromiter(map(self.memo.__getitem__, tokens), np.uint64, len(tokens))
-
-
-def embed(hashes: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
-    """For a window from every position: the walk's LSH key, and the furthest position that the key saw.
+def embed(hashes: np.ndarray, walk: int, count: bool = False) -> tuple[np.ndarray, ...]:
+    """For a window from every position: the walk's LSH key, the furthest position that the key saw, and
+    with `count` how many positions it saw.
 
     hashes: of a token sequence that STEPS fillers end.
     """
@@ -83,15 +75,18 @@ def embed(hashes: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n)
     key = np.zeros(n, np.uint64)
     last = int(steps[walk][-1])
-    taken = 0
+    taken, before, different = 0, np.full(n, -1), np.zeros(n, np.int64)
     for t in range(last + 1):
         if t == steps[walk][taken]:
             key ^= hashes[at] * mix[taken]
             key ^= key >> np.uint64(29)
             taken += 1
+            if count:
+                different += at != before
+                before = at.copy()
         if t < last:
             at += ((moves[at] >> np.uint64(63 - t)) & np.uint64(1)).astype(np.int64)
-    return key * odd[walk], at
+    return (key * odd[walk], at, different) if count else (key * odd[walk], at)
 
 
 _FILL = np.zeros(STEPS, np.uint64)
@@ -104,7 +99,6 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
         self.texts = [" ".join(w) for w in self.words]
-        hashes = Hashes()
         keys: list[list] = [[] for _ in range(WALKS)]
         self.short: dict[int, dict[tuple, list[int]]] = {}
         for k, tokens in enumerate(self.words):
@@ -114,13 +108,17 @@ class Index:
                 continue
             if not n:
                 continue
-            line = np.concatenate((hashes.of(tokens), _FILL))
+            line = np.concatenate((hashes_of(tokens), _FILL))
             for walk in range(WALKS):
-                key, seen = embed(line, walk)
-                ok = np.flatnonzero(seen < n)
+                key, seen, different = embed(line, walk, True)
+                # a walk that stood still samples too few words to tell passages apart
+                ok = np.flatnonzero((seen < n) & (different >= LEAST_WORDS))
                 keys[walk].append((key[ok], np.full(len(ok), k), ok))
         self.tables = []
+        self.n_keys = np.zeros(len(items), np.int64)
         for found in keys:
+            for _, k, _ in found:
+                self.n_keys[k[:1]] += len(k) > 0
             key, item, start = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [[]] * 3))
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, bool)
@@ -128,19 +126,24 @@ class Index:
                 seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
             self.tables.append((key[order], item[order], start[order], seen))
 
+    @cache
+    def slack(self, similarity: float) -> np.ndarray:
+        """Words by which a passage may be longer or shorter than each item, and one more."""
+        return np.ceil((1 - similarity) * np.array([len(w) for w in self.words])).astype(np.int64) + 1
+
     def candidates(self, hashes: np.ndarray):
-        """(position, item, start in the item) of every key that a window meets."""
+        """(position, item, start in the item, place of the key's last word) of every key that a window meets."""
         line = np.concatenate((hashes, _FILL))
         for walk, (keys, items, starts, seen) in enumerate(self.tables):
             if not len(keys):
                 continue
-            key, _ = embed(line, walk)
+            key, seen_to = embed(line, walk)
             at = np.flatnonzero(seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
             n = high - low
             if n.any():
                 rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(at, n), items[rows], starts[rows]
+                yield np.repeat(at, n), items[rows], starts[rows], np.repeat(seen_to[at] * WALKS + walk, n)
 
 
 def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
@@ -171,7 +174,31 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def matches(index: Index, texts: list[str | None], hashes: Hashes, similarity: float) -> list[tuple[int, int, int, int, int]]:
+def _places(index: Index, hashes: np.ndarray, ends: np.ndarray, similarity: float):
+    """(text, item, first token, slack) of the alignments to verify: where a text and an item share NEEDED keys or more.
+
+    Alignments within one slack of each other are verified together.
+    """
+    met = list(index.candidates(hashes))
+    if not met:
+        return
+    at, item, start, last = (np.concatenate(x) for x in zip(*met))
+    text = np.searchsorted(ends, at, "right")
+    pair = text * len(index.ids) + item
+    # windows that start side by side soon walk the same way: a key counts once for each walk and last word
+    pairs, count = np.unique(np.unique(np.stack((pair, last)), axis=1)[0], return_counts=True)
+    count = count[np.searchsorted(pairs, pair)]
+    slack = index.slack(similarity)[item]
+    begins = np.concatenate(([0], ends))[text]
+    first = at - start - begins
+    keep = count >= np.minimum(NEEDED, index.n_keys[item])
+    rows = np.unique(np.stack((text, item, first // slack))[:, keep], axis=1)
+    for t, k, part in rows.T.tolist():
+        s = int(index.slack(similarity)[k])
+        yield t, k, part * s, s
+
+
+def matches(index: Index, texts: list[str | None], similarity: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, first token, tokens) of every text and item that verify, the best place of each."""
     token_lists = [words(t) for t in texts]
     ends = np.cumsum([len(w) for w in token_lists])
@@ -179,26 +206,17 @@ def matches(index: Index, texts: list[str | None], hashes: Hashes, similarity: f
     if not flat:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
-    tried: set[tuple[int, int, int]] = set()
-    for at, items, starts in index.candidates(hashes.of(flat)):
-        for p, k, o in zip(at.tolist(), items.tolist(), starts.tolist()):
-            text = int(np.searchsorted(ends, p, "right"))
-            item = index.words[k]
-            slack = math.ceil((1 - similarity) * len(item)) + 1
-            first = p - o - (int(ends[text - 1]) if text else 0)
-            place = (text, k, first // slack)
-            if place in tried or found.get((text, k), (1,))[0] == 0:
-                continue
-            tried.add(place)
-            low = max(0, first - slack - (first % slack))
-            passage = token_lists[text][low : max(0, first + len(item) + 2 * slack)]
-            joined = " ".join(passage)
-            pattern = index.texts[k]
-            spot = joined.find(pattern)
-            distance, end = (0, spot + len(pattern)) if spot >= 0 else edit_distance_within(pattern, joined)
-            if distance <= (1 - similarity) * len(pattern) and distance < found.get((text, k), (1 << 30,))[0]:
-                begin = low + joined[: max(0, end - len(pattern))].count(" ")
-                found[text, k] = (distance, begin, len(item))
+    for text, k, first, slack in _places(index, hashes_of(flat), ends, similarity):
+        if found.get((text, k), (1,))[0] == 0:
+            continue
+        item, pattern = index.words[k], index.texts[k]
+        low = max(0, first - slack)
+        joined = " ".join(token_lists[text][low : max(0, first + len(item) + 2 * slack)])
+        spot = joined.find(pattern)
+        distance, end = (0, spot + len(pattern)) if spot >= 0 else edit_distance_within(pattern, joined)
+        if distance <= (1 - similarity) * len(pattern) and distance < found.get((text, k), (1 << 30,))[0]:
+            begin = low + joined[: max(0, end - len(pattern))].count(" ")
+            found[text, k] = (distance, begin, len(item))
     for n, sequences in index.short.items():
         for text, tokens in enumerate(token_lists):
             for p in range(len(tokens) - n + 1):
@@ -229,11 +247,11 @@ def _pass(docs, held, id_col, text_col, item_kind, item_id, similarity) -> DataF
     spread = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches):
-        index, hashes = Index(spread.value), Hashes()
+        index = Index(spread.value)
         id_kind = pa.array(index.ids).type if index.ids else pa.int64()
         for batch in batches:
             for chunk in slices(batch, 128):
-                rows = matches(index, chunk.column(1).to_pylist(), hashes, similarity)
+                rows = matches(index, chunk.column(1).to_pylist(), similarity)
                 columns = [list(c) for c in zip(*rows)] or [[]] * 5
                 share = [1 - d / max(1, len(index.texts[k])) for k, d in zip(columns[1], columns[2])]
                 yield pa.RecordBatch.from_arrays(
