@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pallium.functions import catalog
-from pallium.functions.text import empty_to_null, haystack, normalize, truncate
+from pallium.functions.text import empty_to_null, haystack, normalize, scan_window, truncate
 from pallium.operators.spans import find_values
 
 #: Tags and roles that admit an element, containers that are scanned for values only, interactive roles.
@@ -140,11 +140,14 @@ def classified(elements: DataFrame, policy: dict[str, bool] | None = None) -> Da
     """elements with `purpose` (categories), `values` (hits of the text), `control` (categories of a typed value) and `level`."""
     is_field = F.col("tag").isin(*CONTROLS)
     hay = haystack(attr("aria-label"), attr("name"), attr("id"), attr("placeholder"), attr("autocomplete"), attr("title"), F.col("name"))
-    purpose = catalog.matching(is_field, input_type(), attr("autocomplete"), hay, policy)
-    context = F.concat_ws(" ", hay, F.col("nearby"))
     text = F.when(is_field, F.lit("")).otherwise(F.when(F.length("direct_text") > F.length("name"), F.col("direct_text")).otherwise(F.col("name")))
     typed = F.when(is_field & has_user_value() & (input_type() != "password"), F.coalesce(empty_to_null(attr("value")), F.col("direct_text"))).otherwise("")
-    rows = elements.withColumns({"purpose": purpose, "values": find_values(text, policy, context), "control": find_values(typed, policy, context)})
+    # columns of their own first: the matchers below name each of them a hundred times
+    rows = elements.withColumns({"_hay": hay, "_text": scan_window(text), "_typed": scan_window(typed), "_field": is_field, "_type": input_type(), "_hint": attr("autocomplete")})
+    rows = rows.withColumn("_context", F.concat_ws(" ", "_hay", "nearby"))
+    purpose = catalog.matching(F.col("_field"), F.col("_type"), F.col("_hint"), F.col("_hay"), policy)
+    values, control = (find_values(F.col(c), policy, F.col("_context"), scanned=True) for c in ("_text", "_typed"))
+    rows = rows.withColumns({"purpose": purpose, "values": values, "control": control}).drop("_hay", "_text", "_typed", "_field", "_type", "_hint", "_context")
     rows = rows.withColumn("control", F.array_distinct(F.transform("control", lambda h: h["category"])))
     found = F.concat("purpose", F.transform("values", lambda h: h["category"]), "control")
     return rows.withColumn("categories", F.array_distinct(found)).withColumn("level", catalog.level(F.col("categories")))
