@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pallium.functions import catalog
-from pallium.functions.text import ELLIPSIS, scan_window
+from pallium.functions.text import ELLIPSIS, name_bearing, scan_window
 from pallium.operators.spans import HIT, find_values
 
 #: The text fields of an element, in the order in which they are redacted.
@@ -140,3 +140,38 @@ def expand(text, vault, profile=None):
         own = F.filter(entries, lambda e: ~F.map_contains_key(profile, e["key"]))
         entries = F.concat(own, F.map_entries(profile))
     return F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+
+
+def texts_for_model(elements: DataFrame, scope: str, pos: str = "pos") -> DataFrame:
+    """(scope, key, pos, field, value): the texts in which a model may look for names, under stable keys.
+
+    Addresses of links and pictures are left out, and so is what holds only placeholders.
+    """
+    rows = strings_of(elements, scope, pos).filter(~F.col("field").isin("href", "src"))
+    key = F.concat_ws(".", F.lit("el"), F.col(pos).cast("string"), F.col("field"))
+    return rows.filter(name_bearing(F.col("value"))).select(scope, key.alias("key"), pos, "field", "field_pos", "value")
+
+
+def apply_entities(first: Redaction, entities: DataFrame, scope: str, policy: dict[str, bool] | None = None) -> Redaction:
+    """A second round over redacted texts: model entities (scope, pos, field_pos, category, start, length, score) get placeholders too.
+
+    Values that the first vault knows keep their placeholder; new numbers go on after the first round's.
+    """
+    on = [c for c, yes in catalog.normalise_policy(policy).items() if yes]
+    texts = first.texts.withColumnRenamed("redacted", "_text")
+    found = entities.filter(F.col("category").isin(*on)).join(texts, [scope, "pos", "field_pos"])
+    raw = F.substring(F.col("_text"), F.col("start") + 1, F.col("length"))
+    found = found.select(scope, "pos", "field_pos", "category", F.lit("model").alias("confidence"), "start", "length", raw.alias("raw"))
+    known = first.vault.select(scope, "category", F.col("value").alias("raw"), F.col("placeholder").alias("_known"))
+    number = F.regexp_extract("placeholder", "_([0-9]+)>$", 1).cast("int")
+    used = first.records.groupBy(scope, catalog.token(F.col("category")).alias("_token")).agg(F.max(number).alias("_used"))
+    old = found.join(known, [scope, "category", "raw"]).withColumns({"placeholder": F.col("_known"), "reused": F.lit(True)}).drop("_known")
+    new = mint(found.join(known, [scope, "category", "raw"], "left_anti"), scope).withColumn("_token", catalog.token(F.col("category")))
+    shifted = (F.regexp_extract("placeholder", "_([0-9]+)>$", 1).cast("int") + F.coalesce("_used", F.lit(0))).cast("string")
+    new = new.join(used, [scope, "_token"], "left").withColumn("placeholder", F.concat(F.lit("<"), F.col("_token"), F.lit("_"), shifted, F.lit(">")))
+    minted = old.unionByName(new.select(*old.columns))
+    cuts = minted.groupBy(scope, "pos", "field_pos").agg(F.array_sort(F.collect_list(F.struct("start", "length", "placeholder"))).alias("_cuts"))
+    done = texts.join(cuts, [scope, "pos", "field_pos"], "left").select(scope, "pos", "field_pos", splice(F.col("_text"), F.col("_cuts")).alias("redacted"))
+    more = minted.select(scope, "pos", "field_pos", "start", "placeholder", "category", "confidence", "reused", (catalog.one_way(F.col("category")) & ~F.col("reused")).alias("one_way"))
+    vault = minted.filter(~F.col("reused") & ~catalog.one_way(F.col("category"))).select(scope, "placeholder", "category", F.col("raw").alias("value"))
+    return Redaction(done, first.records.unionByName(more), first.vault.unionByName(vault))
