@@ -26,7 +26,9 @@ SIZE = 1 << BITS
 LOW_N, HIGH_N = 3, 5
 MIN_DOCS = 4
 #: Bound of the fitting sample: labelled rows of each class.
-FIT_ROWS = 2_000
+FIT_ROWS = 1_500
+#: Features with a smaller log-count ratio tell nothing and are left out.
+LEAST_RATIO = 0.1
 ROUNDS = 60
 RATE = 0.1
 DECAY = 2e-4
@@ -94,17 +96,21 @@ def held_out(id_col: str):
 
 def fit_weights(rows: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, ratio: np.ndarray, bias: float) -> Model:
     """Weighted logistic regression on ratio-scaled present features, by Adam over all rows."""
+    rows = [r if len(r) else np.zeros(1, np.int32) for r in rows]
     lengths = np.array([len(r) for r in rows])
-    flat, of_row = np.concatenate(rows), np.repeat(np.arange(len(rows)), lengths)
-    used, flat = np.unique(flat, return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    flat = np.concatenate(rows)
+    used = np.flatnonzero(np.bincount(flat, minlength=len(ratio)))
+    place = np.zeros(len(ratio), np.int32)
+    place[used] = np.arange(len(used))
+    flat = place[flat]
     scale = ratio[used]
     w, b = np.zeros(len(used)), bias
     first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, ROUNDS + 1):
-        effective = w * scale
-        margin = np.bincount(of_row, effective[flat], len(rows)) + b
+        margin = np.add.reduceat((w * scale).astype(np.float32)[flat], starts) + b
         residual = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) * importance
-        slope = np.append(np.bincount(flat, residual[of_row], len(used)) * scale + DECAY * w, residual.sum())
+        slope = np.append(np.bincount(flat, np.repeat(residual, lengths), len(used)) * scale + DECAY * w, residual.sum())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         step = RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-6)
@@ -139,6 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from all labelled rows that are not held out."""
     marks = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
+    held = marks
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(marks, "_id")
@@ -149,8 +156,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(zero, float(np.log(share / (1 - share))))
     common = n0 + n1 >= MIN_DOCS
     ratio = np.where(common, np.log((n1 + 1) / (total[1] + 2)) - np.log((n0 + 1) / (total[0] + 2)), 0.0)
-    order = [F.xxhash64("_id"), F.xxhash64("_text")]
-    picked = [rows.filter(F.col("_label") == c).orderBy(*order).limit(FIT_ROWS).collect() for c in (0, 1)]
+    # ids first, twice as many as are needed since some may have no text: only the chosen texts reach the driver
+    chosen = [held.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(2 * FIT_ROWS) for c in (0, 1)]
+    found = rows.join(F.broadcast(chosen[0].union(chosen[1]).select("_id")), "_id", "left_semi").select(F.xxhash64("_id", "_text").alias("_o"), "_text", "_label").collect()
+    picked = [sorted((r for r in found if r["_label"] == c), key=lambda r: r["_o"])[:FIT_ROWS] for c in (0, 1)]
+    common &= np.abs(ratio) >= LEAST_RATIO
     sample = [n[common[n]] for c in (0, 1) for n in Grams().of_texts([r["_text"] for r in picked[c]])]
     y = np.repeat([0.0, 1.0], [len(p) for p in picked])
     importance = np.repeat([total[c] / total.sum() / max(1, len(picked[c])) for c in (0, 1)], [len(p) for p in picked])
