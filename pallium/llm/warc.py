@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pallium.llm.common import scratch_path
+from pallium.llm.common import saved, scratch_path
 
 CRLF = "\r\n"
 #: Payloads from this many bytes on are stored once.
 REVISIT_BYTES = 100
 #: Records of one file at most.
-FILE_RECORDS = 6_000
+FILE_RECORDS = 3_000
+#: Payloads with copies that are broadcast at most, 25 MB of them.
+BROADCAST_HEADS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -59,7 +61,11 @@ def transactions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "\r", "%0D"), "\n", "%0A")
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha2(F.col("payload").cast("binary"), 256), "size": F.octet_length("payload").cast("long")})
-    heads = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("head"))
+    # only payloads that occur again need a head; few of those are sent to the pages, many meet them in a shuffle
+    heads = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    heads = saved(heads, "heads")
+    if heads.count() <= BROADCAST_HEADS:
+        heads = F.broadcast(heads)
     rows = rows.join(heads, "digest", "left")
     revisit = F.coalesce((F.col("head") != F.col("id")) | (F.col("id").isNull() & F.col("head").isNotNull()), F.lit(False))
     # the number that Spark gives a row of this job tells apart repeated rows
@@ -100,7 +106,7 @@ def transactions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select(F.explode(F.array(main, request, metadata)).alias("value"))
 
 
-def write(records: DataFrame, path: str, compression: str = "none") -> None:
+def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     """Write records (`value`: header, blank line, block) as WARC files."""
     end = CRLF * 2
     records.select("value").write.option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)

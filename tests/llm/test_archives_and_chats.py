@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from pallium.llm import chat_tools, warc
@@ -52,11 +53,14 @@ def test_parser_reads_gzip_members_and_refuses_cut_archives():
     raise AssertionError("a cut archive passed")
 
 
-def test_gzip_archives_and_empty_tables(spark):
-    pages = spark.createDataFrame([(1, "u", LONG)], "page_id long, url string, html string")
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_archives_and_empty_tables(spark, compression, monkeypatch):
+    pages = spark.createDataFrame([(1, "u", LONG), (2, "u", LONG)], "page_id long, url string, html string")
     path = scratch_path(spark, "test")
-    warc.write(warc.transactions(pages), path, "gzip")
-    assert warc.read(spark, path).count() == 3
+    monkeypatch.setattr(warc, "BROADCAST_HEADS", 0)
+    warc.write(warc.transactions(pages), path, compression)
+    assert sorted(r["record_type"] for r in warc.read(spark, path).collect()) == ["metadata", "metadata", "request", "request", "response", "revisit"]
+    pages = pages.filter("page_id = 1")
     assert warc.page_captures(pages.filter("page_id > 1")).count() == 0
 
 
