@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -56,6 +57,16 @@ def _drop_scratch() -> None:
             return
 
 
+def bounded_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
+    """The n rows of df with the smallest hash of `key`, of `total` rows.
+
+    A threshold on the hash leaves about 4 n rows before they are ordered, however large df is.
+    """
+    share = min(1.0, 4 * n / max(total, 1))
+    near = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int(share * (1 << 40))
+    return df.filter(near).orderBy(F.xxhash64(F.lit("sample"), key), key).limit(n)
+
+
 def slices(batch, rows: int = 512):
     """Parts of an Arrow batch, so that Python objects of only a few hundred texts exist at a time."""
     for start in range(0, batch.num_rows, rows):

@@ -274,7 +274,7 @@ def _pass(docs, held, id_col, text_col, item_kind, item_id, similarity) -> DataF
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a passage of an item; rows without id are judged by their text alone."""
-    found = contaminated(docs.withColumn(id_col, F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))  , text_col)), items, id_col, text_col)
-    bad = found.select(F.col(id_col).alias("_bad")).distinct()
     mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
-    return docs.withColumn("_mark", mark).join(bad, F.col("_mark") == F.col("_bad"), "left_anti").drop("_mark")
+    found = contaminated(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), items, "mark")
+    bad = found.select(F.col("mark").alias("_contaminated")).distinct()
+    return docs.join(bad, mark == bad["_contaminated"], "left_anti")

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,9 @@ ROUNDS = 1
 RATE = 0.2
 BATCH = 4096
 SEED = 3
+#: Tasks whose weights are averaged together at first.
+GATHERED = 128
+ROW = ["part", "task", "n", "w"]
 _MEMO = 400_000
 
 
@@ -199,20 +203,23 @@ def trained(docs: DataFrame, vocab: dict[str, int], text_col: str = "text", roun
                         net.learn(targets[at : at + BATCH], sides[:, at : at + BATCH], RATE)
                     seen += len(targets)
             pieces = np.array_split(net.flat(), parts)
+            task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(parts), pa.int32()), pa.array([seen] * parts, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["part", "n", "w"]
+                [pa.array(range(parts), pa.int32()), pa.array([task] * parts, pa.int64()), pa.array([seen] * parts, pa.int64()), pa.array([p.tobytes() for p in pieces], pa.binary())], ROW
             )
 
         def average(table: pa.Table) -> pa.Table:
-            total, n = None, 0
-            for k, raw in zip(table.column("n").to_pylist(), table.column("w").to_pylist()):
-                add = np.frombuffer(raw, np.float32).astype(np.float64)
-                total, n = (add * k if total is None else total + add * k), n + k
-            mean = total / n if n else np.frombuffer(table.column("w")[0].as_py(), np.float32)
-            return pa.table({"part": table.column("part").slice(0, 1), "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
-
-        sent = docs.select(text_col).mapInArrow(run, "part int, n long, w binary")
-        held = {r["part"]: r["w"] for r in sent.groupBy("part").applyInArrow(average, "part int, w binary").collect()}
+            """The mean of one part over some tasks, in the order of their numbers so that it always comes out the same."""
+            rows = sorted(zip(*(table.column(c).to_pylist() for c in ("task", "n", "w"))))
+            n = sum(k for _, k, _ in rows)
+            mean = sum(np.frombuffer(w, np.float32).astype(np.float64) * (k / n if n else 1 / len(rows)) for _, k, w in rows)
+            return pa.table({"part": table.column("part").slice(0, 1), "task": [rows[0][0]], "n": [n], "w": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+        schema = "part int, task long, n long, w binary"
+        sent = docs.select(text_col).mapInArrow(run, schema)
+        # by groups of tasks first: no group of a large cluster's thousands of tasks is gathered at once
+        some = sent.groupBy("part", F.floor(F.col("task") / GATHERED)).applyInArrow(average, schema)
+        held = {r["part"]: r["w"] for r in some.groupBy("part").applyInArrow(average, schema).collect()}
         if held:
             state = np.concatenate([np.frombuffer(held[k], np.float32) for k in sorted(held)])
     return Network.of(state)

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pallium.llm.common import bounded_sample
+
 BITS = 16
 SIZE = 1 << BITS
 LOW_N, HIGH_N = 3, 5
@@ -162,21 +164,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grades, n = np.array([r["_grade"] for r in held], float), np.array([r["count"] for r in held], float)
     if len(grades) < 2:
         return Model(grades if len(grades) else np.array([np.nan]), np.zeros(SIZE), np.zeros(0))
-    sample = rated.orderBy(F.xxhash64("_id"), "_id").limit(2 * FIT_ROWS)  # ids without a document are passed over
+    sample = bounded_sample(rated, "_id", 2 * FIT_ROWS, int(n.sum()))  # ids without a document are passed over
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    found = rows.orderBy(F.xxhash64("_id"), F.xxhash64("_text")).limit(FIT_ROWS).collect()
+    found = sorted(rows.select("_grade", "_text", F.xxhash64("_id", "_text").alias("_o")).collect(), key=lambda r: r["_o"])[:FIT_ROWS]
     features = Features()
     if not found:
         return Model(grades, np.zeros(SIZE), np.log(np.cumsum(n)[:-1] / (n.sum() - np.cumsum(n)[:-1])))
     return fit(list(features.rows([r["_text"] for r in found])), np.searchsorted(grades, [r["_grade"] for r in found]), grades, n / n.sum())
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", cut: float | None = None) -> DataFrame:
-    """docs with `expected_grade`, and `tail_probability` of a grade of `cut` (the highest by default) or more."""
+def score_column(docs: DataFrame, model: Model, cut: float | None = None):
+    """A function of a text column that gives struct<expected, tail>: the expected grade, and the chance of `cut` (the highest by default) or more."""
     if not len(model.thresholds):
         only = None if math.isnan(model.grades[0]) else float(model.grades[0])
         tail = None if only is None else float(cut is None or only >= cut)
-        return docs.withColumns({"expected_grade": F.lit(only).cast("double"), "tail_probability": F.lit(tail).cast("double")})
+        return lambda text: F.struct(F.lit(only).cast("double").alias("expected"), F.lit(tail).cast("double").alias("tail"))
     at = len(model.grades) - 1 if cut is None else int(np.searchsorted(model.grades, cut))
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -184,8 +186,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", cut: float | N
     def score(texts: pd.Series) -> pd.DataFrame:
         return _score_series(spread.value, texts, at)
 
-    out = docs.withColumn("_quality", score(text_col))
-    return out.withColumns({"expected_grade": F.col("_quality.expected"), "tail_probability": F.col("_quality.tail")}).drop("_quality")
+    return score
 
 
 def _score_series(model: Model, texts, at: int):
@@ -197,14 +198,12 @@ def _score_series(model: Model, texts, at: int):
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "quality") -> DataFrame:
     """(id_col, expected_grade, tail_probability, selected) for every row of docs."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    out = scored(rows, train(docs, labels, id_col, text_col, grade_col), "_text")
-    return out.select(id_col, "expected_grade", "tail_probability", F.coalesce(F.col("tail_probability") >= 0.5, F.lit(False)).alias("selected"))
+    score = score_column(docs, train(docs, labels, id_col, text_col, grade_col))
+    out = docs.select(F.col(id_col), score(text_col).alias("_q")).select(id_col, F.col("_q.expected").alias("expected_grade"), F.col("_q.tail").alias("tail_probability"))
+    return out.withColumn("selected", F.coalesce(F.col("tail_probability") >= 0.5, F.lit(False)))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs whose chance of the highest grade is one half or more; all, when there are no ratings to judge by."""
-    columns = docs.columns
-    rows = docs.withColumnsRenamed({c: f"_doc_{k}" for k, c in enumerate(columns)})
-    kept = scored(rows, model, f"_doc_{columns.index(text_col)}").filter("tail_probability is null or tail_probability >= 0.5")
-    return kept.select([F.col(f"_doc_{k}").alias(c) for k, c in enumerate(columns)])
+    tail = score_column(docs, model)(text_col)["tail"]
+    return docs.filter(F.coalesce(tail >= 0.5, F.lit(True)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import slices
+from pallium.llm.common import bounded_sample, slices
 
 BITS = 18
 SIZE = 1 << BITS
@@ -157,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     common = n0 + n1 >= MIN_DOCS
     ratio = np.where(common, np.log((n1 + 1) / (total[1] + 2)) - np.log((n0 + 1) / (total[0] + 2)), 0.0)
     # ids first, twice as many as are needed since some may have no text: only the chosen texts reach the driver
-    chosen = [held.filter(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(2 * FIT_ROWS) for c in (0, 1)]
+    marked = {r["_label"]: r["count"] for r in held.groupBy("_label").count().collect()}
+    chosen = [bounded_sample(held.filter(F.col("_label") == c), "_id", 2 * FIT_ROWS, marked.get(c, 0)) for c in (0, 1)]
     found = rows.join(F.broadcast(chosen[0].union(chosen[1]).select("_id")), "_id", "left_semi").select(F.xxhash64("_id", "_text").alias("_o"), "_text", "_label").collect()
     picked = [sorted((r for r in found if r["_label"] == c), key=lambda r: r["_o"])[:FIT_ROWS] for c in (0, 1)]
     common &= np.abs(ratio) >= LEAST_RATIO
@@ -169,15 +170,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_weights(sample, y, importance, ratio, float(np.log(total[1] / total[0])))
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column `out`: the probability of label 1."""
+def score_column(docs: DataFrame, model: Model):
+    """A function of a text column that gives the probability of label 1."""
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return _score_series(spread.value, texts)
 
-    return docs.withColumn(out, score(text_col))
+    return score
 
 
 def _score_series(model: Model, texts):
@@ -189,9 +190,11 @@ def _score_series(model: Model, texts):
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id_col, held_out, score, predicted) for every row of docs."""
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
-    out = scored(rows, train(docs, labels, id_col, text_col, label_col), "_text")
+    score = score_column(docs, train(docs, labels, id_col, text_col, label_col))
+    out = rows.withColumn("score", score("_text"))
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    return scored(docs, model, text_col, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+    """docs whose score is below one half."""
+    return docs.filter(score_column(docs, model)(text_col) < 0.5)
