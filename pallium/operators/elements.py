@@ -204,3 +204,87 @@ def signals(elements: DataFrame, page: str = "page_id") -> DataFrame:
     control = F.transform("control", lambda c: F.struct(c.alias("category"), F.lit("control-value").alias("via"), F.lit("structure").alias("confidence")))
     rows = elements.filter(attr("id") != "").select(page, attr("id").alias("element"), F.explode(F.concat(purpose, value, control)).alias("s"))
     return rows.select(page, "element", "s.*")
+
+
+#: What a chat's title is not, longest title, roles of rows and of things to choose, options shown.
+NOT_TITLES = r"(?i)^(search|menu|mute|video|voice|online|offline|typing|chats|status|about)$"
+STATUS = r"(?i)\b(last seen|online|typing|click here for contact info|tap here for contact info|click here for group info).*$"
+PREVIEW = r"(?i)\breacted\b|^(yesterday|today|monday|tuesday|wednesday|thursday|friday|saturday|sunday)$|^\d{1,2}:\d{2}"
+ROWS = ("listitem", "row", "option", "gridcell")
+CHOOSABLE = ("button", "link", "option", "radio", "listitem")
+TITLE, OPTIONS = 48, 30
+
+
+def choosers(nodes: DataFrame, page: str = "page_id", hops: int = 8) -> DataFrame:
+    """(page, node_id): the first CHOOSERS cards that speak of something verified, moved to the nearest clickable element above."""
+    card = F.col("tag").isin("div", "li", "article", "section", "label") | (attr("tabindex") == "0")
+    says = F.length("text").between(6, 200) & F.col("text").rlike(r"(?i)\b(verified|unverified)\b")
+    cards = nodes.filter(card & says & ~F.col("hidden")).select(page, F.col("node_id").alias("_card"), F.posexplode(F.slice(F.concat(F.array("node_id"), "ancestors"), 1, hops)).alias("_hop", "node_id"))
+    click = nodes.filter(focusable() | role().isin(*CHOOSABLE) | F.map_contains_key("attrs", F.lit("onclick"))).select(page, "node_id", F.lit(True).alias("_click"))
+    up = cards.join(click, [page, "node_id"], "left").groupBy(page, "_card").agg(F.min_by(F.when(F.col("_click"), F.col("node_id")), F.when(F.col("_click"), F.col("_hop"))).alias("_target"))
+    targets = up.groupBy(page, F.coalesce("_target", "_card").alias("node_id")).agg(F.min("_card").alias("_first"))
+    order = Window.partitionBy(page).orderBy("_first")
+    return targets.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= CHOOSERS).select(page, "node_id")
+
+
+def conversation_labels(nodes: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, node_id, label): a short title for each list row: its first fitting span, its title, or its text."""
+    rows = nodes.filter(role().isin(*ROWS))
+    spans = nodes.filter(F.col("tag").isin("span", "strong") & F.length("text").between(2, TITLE) & ~F.col("text").rlike(PREVIEW))
+    inner = spans.select(page, F.col("node_id").alias("_span"), F.col("text").alias("_label"), F.explode("ancestors").alias("node_id"))
+    first = inner.join(rows.select(page, "node_id"), [page, "node_id"], "left_semi").groupBy(page, "node_id").agg(F.min_by("_label", "_span").alias("_label"))
+    titled = F.when(F.length(attr("title")).between(2, 80) & ~attr("title").rlike(r"(?i)\breacted\b"), F.substring(F.trim(F.get(F.split(normalize(attr("title")), "[.•·]"), 0)), 1, TITLE))
+    label = F.coalesce("_label", empty_to_null(titled), empty_to_null(F.substring("text", 1, TITLE)), F.lit(""))
+    return rows.join(first, [page, "node_id"], "left").select(page, "node_id", label.alias("label"))
+
+
+def open_title(text: Column) -> Column:
+    """A text as the title of an open chat; null for menus, phone numbers and what is too long or short."""
+    name = F.trim(F.regexp_replace(F.regexp_replace(normalize(text), STATUS, ""), r"\s+", " "))
+    digits = F.length(F.regexp_replace(name, "[^0-9]", ""))
+    phone = digits.between(10, 15) & name.rlike(r"^\+?[\d\s().-]{8,22}$")
+    odd = name.rlike(NOT_TITLES) | name.rlike(r"(?i)\b(search or start|type a message)\b")
+    return F.when(F.length(name).between(2, TITLE) & ~phone & ~odd, name)
+
+
+def open_conversations(nodes: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, candidates): distinct titles that the open chat may have: from the header of #main, then from the page's title."""
+    main = nodes.filter(attr("id") == "main").groupBy(page).agg(F.min("node_id").alias("_main"))
+    headers = nodes.filter(F.col("tag") == "header").join(main, page).filter(F.array_contains("ancestors", F.col("_main")))
+    header = headers.groupBy(page).agg(F.min("node_id").alias("_header"))
+    inside = nodes.join(header, page).filter(F.array_contains("ancestors", F.col("_header")))
+    by_title = inside.filter(attr("title") != "").select(page, F.lit(0).alias("o"), "node_id", attr("title").alias("t"))
+    by_text = inside.filter(F.col("tag").isin("span", "strong", "h1", "h2") | (role() == "heading")).select(page, F.lit(1).alias("o"), "node_id", F.col("text").alias("t"))
+    page_title = F.regexp_replace(F.regexp_replace("direct_text", r"^\(\d+\)\s*", ""), r"\s*[-–|].*$", "")
+    titles = nodes.filter(F.col("tag") == "title").select(page, F.lit(2).alias("o"), "node_id", page_title.alias("t"))
+    rows = by_title.union(by_text).union(titles).withColumn("t", open_title(F.col("t"))).filter("t is not null")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o", "node_id", "t"))), lambda x: x["t"])
+    return rows.groupBy(page).agg(F.array_distinct(ordered).alias("candidates"))
+
+
+def select_options(nodes: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, node_id, options): the first labels of each select, and how many more there are."""
+    boxes = nodes.filter(F.col("tag") == "select").select(page, "node_id")
+    options = nodes.filter(F.col("tag") == "option").select(page, F.col("node_id").alias("_o"), truncate(F.col("text"), 80).alias("_t"), F.explode("ancestors").alias("node_id"))
+    held = options.join(boxes, [page, "node_id"], "left_semi").groupBy(page, "node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_t"))), lambda x: x["_t"]).alias("_all"))
+    more = F.when(F.size("_all") > OPTIONS, F.array(F.concat(F.lit("… "), (F.size("_all") - OPTIONS).cast("string"), F.lit(" more options omitted")))).otherwise(F.array().cast("array<string>"))
+    shown = F.concat(F.filter(F.slice("_all", 1, OPTIONS), lambda t: t != ""), more)
+    return boxes.join(held.select(page, "node_id", shown.alias("options")), [page, "node_id"], "left")
+
+
+#: The fields of an element that a planner may see.
+OUTBOUND = ("element_id", "kind", "tag", "text", "placeholder", "name", "html_id", "aria_label", "role", "input_type", "autocomplete", "href", "interactive", "disabled", "has_value", "value_placeholder", "checked", "heading_level", "level", "categories", "options")
+
+
+def compact_context(elements: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page, context): the allowed fields of a page's elements as JSON; missing and empty ones are left out."""
+    fields = [f for f in OUTBOUND if f in elements.columns]
+    kinds = dict(elements.dtypes)
+    kept = [F.nullif(F.col(f), F.lit("")).alias(f) if kinds[f] == "string" else F.when(F.size(f) > 0, F.col(f)).alias(f) if kinds[f].startswith("array") else F.col(f) for f in fields]
+    rows = elements.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.to_json(F.struct(*kept)).alias("j")))), lambda x: x["j"]).alias("_e"))
+    return rows.select(page, F.concat(F.lit('{"redacted":true,"elements":['), F.array_join("_e", ","), F.lit("]}")).alias("context"))
+
+
+def element_hints(elements: DataFrame) -> DataFrame:
+    """What a later turn needs to find elements again."""
+    return elements.select("page_id", "pos", "element_id", "kind", F.substring(F.coalesce("text", F.lit("")), 1, 80).alias("text"))

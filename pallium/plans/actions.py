@@ -16,6 +16,8 @@ MAX_REPLY, MAX_ACTIONS, MAX_TEXT, MAX_WAIT_MS, MAX_SCROLL, MAX_NOTE, MAX_STEPS =
 TYPES = ("click", "fill", "select", "check", "uncheck", "press", "scroll", "wait", "done")
 ACTION_KEYS = ("type", "action", "elementId", "id", "text", "value", "key", "x", "y", "ms", "reason")
 KEYS = ("Enter", "Tab", "Escape", "Space")
+#: Fixed value: likeness from which an element stands for one that is gone.
+LEAST_LIKENESS = 3
 #: Categories that are never filled automatically.
 NEVER_FILLED = ("otp", "cvv", "authentication_secret", "password")
 PLAN = ["session_id", "turn"]
@@ -164,21 +166,48 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     return rows.groupBy(PLAN).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["k"]), "|").alias("fingerprint"))
 
 
-def similar_elements(old: DataFrame, new: DataFrame, least: int = 3) -> DataFrame:
-    """(session_id, old_id, new_id, score): for each old element the likest new one of its session, the first of equals.
+def likeness(old: Column, new: Column) -> Column:
+    """How alike two elements are, structs of text, role and kind: by their texts first, then role and kind."""
+    a, b = F.trim(F.lower(F.coalesce(old["text"], F.lit("")))), F.trim(F.lower(F.coalesce(new["text"], F.lit(""))))
+    first_a, first_b = F.get(F.split(a, r"\s+"), 0), F.get(F.split(b, r"\s+"), 0)
+    word = F.length(first_a) >= 4
+    by_text = (
+        F.when(a == b, 5)
+        .when(b.startswith(a) | a.startswith(b), 4)
+        .when(word & (first_a == first_b), 4)
+        .when(word & b.startswith(first_a), 3)
+        .when(word & F.contains(b, first_a), 1)
+        .otherwise(0)
+    )
+    same = lambda x: F.coalesce((old[x] != "") & (old[x] == new[x]), F.lit(False)).cast("int")
+    return F.when((a == "") | (b == ""), 0).otherwise(by_text + same("role") + same("kind"))
+
+
+def similar_elements(old: DataFrame, new: DataFrame, least: int = LEAST_LIKENESS) -> DataFrame:
+    """(session_id, old_id, new_id, score): for each old element the likest element of its session's page, the first of equals.
+
+    old and new: (session_id, pos, element_id, text, role, kind). Both sides are one page's elements, so pairs stay few.
+    """
+    fields = ("text", "role", "kind")
+    a = old.select("session_id", F.col("element_id").alias("old_id"), F.struct(*fields).alias("_a"))
+    b = new.select("session_id", F.col("pos").alias("_pos"), F.col("element_id").alias("new_id"), F.struct(*fields).alias("_b"))
+    pairs = a.join(b, "session_id").withColumn("score", likeness(F.col("_a"), F.col("_b"))).filter(F.col("score") >= least)
+    best = F.min_by(F.struct("new_id", "score"), F.struct((-F.col("score")).alias("s"), "_pos"))
+    return pairs.groupBy("session_id", "old_id").agg(best.alias("m")).select("session_id", "old_id", "m.new_id", "m.score")
+
+
+def stabilised(rows: DataFrame, elements: DataFrame, before: DataFrame) -> DataFrame:
+    """Resolved action rows with `dropped`: ids that are gone move to the likest element, what has none is dropped.
 
-    Likeness counts html id 4, name 3, text 2 and category 1; candidates come from equi-joins on each of them.
+    rows: of `actions`; elements and before: (PLAN, pos, element_id, html_id, name, text, role, kind) of this page and the last.
     """
-    weights = {"html_id": 4, "name": 3, "text": 2, "category": 1}
-    pairs = None
-    for column, weight in weights.items():
-        a = old.filter(F.col(column) != "").select("session_id", F.col("element_id").alias("old_id"), column)
-        b = new.filter(F.col(column) != "").select("session_id", F.col("element_id").alias("new_id"), column)
-        one = a.join(b, ["session_id", column]).select("session_id", "old_id", "new_id", F.lit(weight).alias("w"))
-        pairs = one if pairs is None else pairs.union(one)
-    score = pairs.groupBy("session_id", "old_id", "new_id").agg(F.sum("w").alias("score")).filter(F.col("score") >= least)
-    order = Window.partitionBy("session_id", "old_id").orderBy(F.col("score").desc(), F.length("new_id"), "new_id")
-    return score.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    found = resolved(rows, elements)
+    needs = ~F.col("type").isin("wait", "scroll", "done")
+    stale = found.filter(needs & F.col("element_id").isNull()).select("session_id", F.col("element_ref").alias("element_id")).distinct()
+    old = before.join(stale, ["session_id", "element_id"], "left_semi")
+    moved = similar_elements(old, elements).select("session_id", F.col("old_id").alias("element_ref"), F.col("new_id").alias("_moved"))
+    out = found.join(moved, ["session_id", "element_ref"], "left").withColumn("element_id", F.coalesce("element_id", "_moved")).drop("_moved")
+    return out.withColumn("dropped", needs & F.col("element_id").isNull())
 
 
 def up_to_first_failure(results: DataFrame) -> DataFrame:

@@ -173,9 +173,35 @@ def test_plan_rewrites(spark):
     assert sorted(r["idx"] for r in actions.without_repeated_clicks(rows, history).collect()) == [1, 2]
     results = spark.createDataFrame([("a", 1, i, i != 1) for i in range(4)], "session_id string, turn int, idx int, ok boolean")
     assert sorted(r["idx"] for r in actions.up_to_first_failure(results).collect()) == [0, 1]
-    old = spark.createDataFrame([("a", "element_1", "h", "n", "T", "email"), ("a", "element_2", "", "", "T", None)], "session_id string, element_id string, html_id string, name string, text string, category string")
-    new = spark.createDataFrame([("a", "element_8", "", "n", "T", "email"), ("a", "element_9", "h", "n", "T", "email")], old.schema)
-    assert [(r["old_id"], r["new_id"], r["score"]) for r in actions.similar_elements(old, new).collect()] == [("element_1", "element_9", 10)]
+
+
+def test_elements_that_moved(spark):
+    schema = "session_id string, turn int, pos int, element_id string, html_id string, name string, text string, role string, kind string, category string"
+    old = spark.createDataFrame([("a", 1, 1, "element_1", "", "", "Inbox (3)", "", "link", None), ("a", 1, 2, "element_2", "", "", "Gone", "", "button", None), ("a", 1, 3, "element_3", "", "", "Settings page", "", "link", None)], schema)
+    new = spark.createDataFrame([("a", 2, 1, "element_7", "", "", "Inbox (4)", "", "link", None), ("a", 2, 2, "element_8", "", "", "Inbox", "", "button", None), ("a", 2, 3, "element_9", "", "", "My settings", "", "link", None)], schema)
+    got = {(r["old_id"]): (r["new_id"], r["score"]) for r in actions.similar_elements(old, new).collect()}
+    assert got == {"element_1": ("element_7", 5)}
+    rows = spark.createDataFrame([("a", 2, "", 0, "click", "element_1"), ("a", 2, "", 1, "click", "element_2"), ("a", 2, "", 2, "wait", None), ("a", 2, "", 3, "click", "element_8")], "session_id string, turn int, goal string, idx int, type string, element_ref string")
+    out = {r["idx"]: (r["element_id"], r["dropped"]) for r in actions.stabilised(rows, new, old).collect()}
+    assert out == {0: ("element_7", False), 1: (None, True), 2: (None, False), 3: ("element_8", False)}
+
+
+CHAT = """<html><head><title>(2) Anna - Chat</title></head><body><div id=main><header><span title="Anna Smith">Anna Smith online</span><span>search</span></header></div>
+<div role=row><span>10:30</span><span>Bob</span><span>a long preview of what was said</span></div><div role=listitem title="Carl. last">x</div>
+<div tabindex=0><p>Account A <b>verified</b></p><div>Account A verified</div></div><label>unverified thing</label>
+<select id=s>{}</select></body></html>""".format("".join(f"<option>o{i}" for i in range(33)))
+
+
+def test_chats_choosers_and_options(spark):
+    nodes = html.nodes(spark.createDataFrame([(1, CHAT)], "page_id long, html string")).cache()
+    assert elements.open_conversations(nodes).first()["candidates"] == ["Anna Smith", "Anna"]
+    assert [r["label"] for r in elements.conversation_labels(nodes).orderBy("node_id").collect()] == ["Bob", "Carl"]
+    picked = elements.choosers(nodes).join(nodes, ["page_id", "node_id"]).orderBy("node_id").collect()
+    assert [r["tag"] for r in picked] == ["div", "label"] and picked[0]["attrs"] == {"tabindex": "0"}
+    options = elements.select_options(nodes).first()["options"]
+    assert len(options) == 31 and options[0] == "o0" and options[-1] == "… 3 more options omitted"
+    shown = spark.createDataFrame([(1, 2, "element_2", "", "secret"), (1, 1, "element_1", "a", "secret")], "page_id int, pos int, element_id string, text string, value string")
+    assert elements.compact_context(shown).first()["context"] == '{"redacted":true,"elements":[{"element_id":"element_1","text":"a"},{"element_id":"element_2"}]}'
 
 
 def test_stream_equals_replay(spark, tmp_path):
