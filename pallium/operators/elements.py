@@ -76,6 +76,13 @@ def heading_level() -> Column:
     return F.coalesce(F.nullif(named, F.lit("")).try_cast("int"), F.when(role() == "heading", attr("aria-level").try_cast("int")))
 
 
+def disabled(nodes: DataFrame, page: str = "page_id") -> DataFrame:
+    """nodes with `disabled`: by their own attributes or a disabled fieldset above."""
+    sets = nodes.filter((F.col("tag") == "fieldset") & F.map_contains_key("attrs", F.lit("disabled"))).groupBy(page).agg(F.collect_list("node_id").alias("_sets"))
+    own = F.map_contains_key("attrs", F.lit("disabled")) | (attr("aria-disabled") == "true")
+    return nodes.join(sets, page, "left").withColumn("disabled", own | F.coalesce(F.arrays_overlap("ancestors", "_sets"), F.lit(False))).drop("_sets")
+
+
 def relevant() -> Column:
     tag = F.col("tag")
     link = (tag == "a") & F.map_contains_key("attrs", F.lit("href"))
@@ -107,7 +114,12 @@ def nearby_labels(nodes: DataFrame, page: str = "page_id") -> DataFrame:
 
 
 def named(nodes: DataFrame, page: str = "page_id") -> DataFrame:
-    """nodes with `nearby` and `name`: the accessible name, by the first source that gives one."""
+    """nodes with `nearby`, `before` and `name`: the accessible name, by the first source that gives one.
+
+    before is the own text of the sibling just before an element, which may say what a value in the element is.
+    """
+    sibling = Window.partitionBy(page, "parent_id").orderBy("sib_idx")
+    nodes = nodes.withColumn("before", F.coalesce(F.lag("direct_text").over(sibling), F.lit("")))
     texts = nodes.filter(attr("id") != "").groupBy(page, attr("id").alias("_ref")).agg(F.min_by("text", "node_id").alias("_text"))
     refs = nodes.filter(attr("aria-labelledby") != "").select(page, "node_id", F.posexplode(F.split(attr("aria-labelledby"), r"\s+")).alias("_k", "_ref"))
     by = refs.join(texts, [page, "_ref"]).filter("_text <> ''").groupBy(page, "node_id").agg(F.array_sort(F.collect_list(F.struct("_k", "_text"))).alias("_p"))
@@ -121,12 +133,13 @@ def named(nodes: DataFrame, page: str = "page_id") -> DataFrame:
     out = nodes.withColumn("_for", F.when(F.col("tag").isin(*CONTROLS), empty_to_null(attr("id"))))
     out = out.join(by, [page, "node_id"], "left").join(marks, [page, "_for"], "left").join(wrapped, [page, "node_id"], "left")
     out = out.join(nearby_labels(nodes, page), [page, "node_id"], "left")
+    out = out.join(conversation_labels(nodes, page), [page, "node_id"], "left")
     context = F.col("tag").isin(*CONTROLS) | editable()
     plain = F.regexp_replace(F.regexp_replace(attr("name"), "^[0-9_]+", ""), "[_-]+", " ")
     own = F.when(F.col("tag").isin(*CONTROLS), plain).otherwise(F.col("text"))
-    sources = [attr("aria-label"), F.col("_labelledby"), F.col("_labels"), F.col("_wrap"), F.when(context, F.col("nearby")), attr("alt"), attr("title"), attr("placeholder"), own]
+    sources = [F.coalesce("label", F.lit("")), attr("aria-label"), F.col("_labelledby"), F.col("_labels"), F.col("_wrap"), F.when(context, F.col("nearby")), attr("alt"), attr("title"), attr("placeholder"), own]
     name = F.coalesce(*(empty_to_null(normalize(s)) for s in sources), F.lit(""))
-    return out.withColumn("name", truncate(name)).drop("_for", "_labelledby", "_labels", "_wrap")
+    return out.withColumn("name", truncate(name)).drop("_for", "_labelledby", "_labels", "_wrap", "label")
 
 
 def has_user_value() -> Column:
@@ -137,19 +150,21 @@ def has_user_value() -> Column:
 
 
 def classified(elements: DataFrame, policy: dict[str, bool] | None = None) -> DataFrame:
-    """elements with `purpose` (categories), `values` (hits of the text), `control` (categories of a typed value) and `level`."""
+    """elements (with `relevant`) and their `purpose` (categories), `values` (hits of the text), `control` (hits of a typed value) and `level`."""
     is_field = F.col("tag").isin(*CONTROLS)
-    hay = haystack(attr("aria-label"), attr("name"), attr("id"), attr("placeholder"), attr("autocomplete"), attr("title"), F.col("name"))
-    text = F.when(is_field, F.lit("")).otherwise(F.when(F.length("direct_text") > F.length("name"), F.col("direct_text")).otherwise(F.col("name")))
+    hay = haystack(attr("name"), attr("id"), attr("placeholder"), attr("aria-label"), attr("autocomplete"), attr("type"), F.col("name"))
+    # a container speaks for its own text only: what its children hold, they report themselves
+    own = (F.length("direct_text") > F.length("name")) | ~F.col("relevant")
+    text = F.when(is_field, F.lit("")).otherwise(F.when(own, F.col("direct_text")).otherwise(F.col("name")))
     typed = F.when(is_field & has_user_value() & (input_type() != "password"), F.coalesce(empty_to_null(attr("value")), F.col("direct_text"))).otherwise("")
     # columns of their own first: the matchers below name each of them a hundred times
     rows = elements.withColumns({"_hay": hay, "_text": scan_window(text), "_typed": scan_window(typed), "_field": is_field, "_type": input_type(), "_hint": attr("autocomplete")})
-    rows = rows.withColumn("_context", F.concat_ws(" ", "_hay", "nearby"))
+    rows = rows.withColumn("_context", F.concat_ws(" ", "_hay", "before"))
     purpose = catalog.matching(F.col("_field"), F.col("_type"), F.col("_hint"), F.col("_hay"), policy)
     values, control = (find_values(F.col(c), policy, F.col("_context"), scanned=True) for c in ("_text", "_typed"))
     rows = rows.withColumns({"purpose": purpose, "values": values, "control": control}).drop("_hay", "_text", "_typed", "_field", "_type", "_hint", "_context")
-    rows = rows.withColumn("control", F.array_distinct(F.transform("control", lambda h: h["category"])))
-    found = F.concat("purpose", F.transform("values", lambda h: h["category"]), "control")
+    rows = rows.withColumn("control", F.array_distinct(F.transform("control", lambda h: F.struct(h["category"].alias("category"), h["confidence"].alias("confidence")))))
+    found = F.concat("purpose", F.transform("values", lambda h: h["category"]), F.transform("control", lambda h: h["category"]))
     return rows.withColumn("categories", F.array_distinct(found)).withColumn("level", catalog.level(F.col("categories")))
 
 
@@ -201,7 +216,7 @@ def signals(elements: DataFrame, page: str = "page_id") -> DataFrame:
     """(page, element, category, via, confidence) of every signal of elements with an html id."""
     purpose = F.transform("purpose", lambda c: F.struct(c.alias("category"), F.lit("field-purpose").alias("via"), F.lit("keyword").alias("confidence")))
     value = F.transform("values", lambda h: F.struct(h["category"].alias("category"), F.lit("value").alias("via"), h["confidence"].alias("confidence")))
-    control = F.transform("control", lambda c: F.struct(c.alias("category"), F.lit("control-value").alias("via"), F.lit("structure").alias("confidence")))
+    control = F.transform("control", lambda h: F.struct(h["category"].alias("category"), F.lit("control-value").alias("via"), h["confidence"].alias("confidence")))
     rows = elements.filter(attr("id") != "").select(page, attr("id").alias("element"), F.explode(F.concat(purpose, value, control)).alias("s"))
     return rows.select(page, "element", "s.*")
 

@@ -51,11 +51,16 @@ class Builder(HTMLParser):
         self.open: list[_Node] = []
         self.seen: list[str] = []  # visible text in order
         self.size = 0
+        self.split = True  # whether a tag or comment came since the last text
+
+    def handle_comment(self, data):
+        self.split = True
 
     def handle_starttag(self, tag, attrs):
         for open_tag, by in CLOSES.items():
             if tag in by:
                 self._close(open_tag, FENCE[open_tag])
+        self.split = True
         values = {k: v or "" for k, v in attrs}
         above = self.open[-1] if self.open else None
         shut = above is not None and above.tag == "details" and "open" not in above.attrs and tag != "summary"
@@ -76,6 +81,7 @@ class Builder(HTMLParser):
             self.open.pop().end = self.size
 
     def _close(self, tag, fence):
+        self.split = True
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k].tag == tag:
                 for node in self.open[k:]:
@@ -91,7 +97,11 @@ class Builder(HTMLParser):
     def handle_data(self, data):
         if not self.open:
             return
-        self.open[-1].direct.append(data)
+        if self.open[-1].direct and not self.split:
+            self.open[-1].direct[-1] += data  # one run of text may come in parts
+        else:
+            self.open[-1].direct.append(data)
+        self.split = False
         if self.open[-1].tag not in UNSEEN:
             self.seen.append(data)
             self.size += len(data)
@@ -109,7 +119,7 @@ class Builder(HTMLParser):
             inner = "" if n.tag in ("html", "body") else " ".join(text[n.start : n.end].split())
             yield (
                 n.id, n.parent.id if n.parent else None, len(chain), n.sib, n.tag, list(n.attrs.items()), [u.id for u in chain], [u.tag for u in chain],
-                " ".join("".join(n.direct).split()), inner, n.hidden, n.control,
+                " ".join(" ".join(n.direct).split()), inner, n.hidden, n.control,
             )
 
 

@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def page_files(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
     """(page, html): one row for each HTML file under path whose name holds `only`."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.html").text(path)
+    files = spark.read.option("pathGlobFilter", "*.html").text(path, wholetext=True)
     page = F.regexp_extract(F.input_file_name(), r"([^/]+)\.html$", 1)
     rows = files.select(page.alias("page"), F.col("value").alias("html"))
     return rows.filter(F.contains("page", F.lit(only))) if only else rows

@@ -88,14 +88,14 @@ def test_admitted_elements(nodes):
 
 
 def test_label_and_page_files(spark, tmp_path):
-    (tmp_path / "a.html").write_text("<p>x</p>")
+    (tmp_path / "a.html").write_text("<p>\nx</p>")
     (tmp_path / "b.html").write_text("<p>y</p>")
     (tmp_path / "a.json").write_text('{"note": "n",\n "expect": {"m": ["email/value/structure", "email/field-purpose"]}}')
     pages, files = tables.page_files(spark, str(tmp_path)), tables.label_files(spark, str(tmp_path))
     truth = evaluate.labels(files)
     assert sorted(map(tuple, truth.collect())) == [("a", "m", "email", "field-purpose", None), ("a", "m", "email", "value", "structure")]
     assert [r["page"] for r in evaluate.unlabelled(pages, truth).collect()] == ["b"]
-    assert tables.page_files(spark, str(tmp_path), "a").count() == 1 and files.first()["mode"] == "visible"
+    assert tables.page_files(spark, str(tmp_path), "a").first()["html"] == "<p>\nx</p>" and files.first()["mode"] == "visible"
 
 
 def test_metrics_and_gate(spark, tmp_path):
