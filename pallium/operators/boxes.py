@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.functions.geometry import BOX, SUPPRESS_IOU, covers_too_much, iou, pad
+from pallium.functions.geometry import BOX, FACE_SCORE, SUPPRESS_IOU, box, covers_too_much, iou, pad, plausible_face
 
 
 def normalised(detections: DataFrame, images: DataFrame) -> DataFrame:
@@ -77,3 +77,41 @@ def texts_in_regions(items: DataFrame, regions: DataFrame) -> DataFrame:
     cx, cy = F.col("box.x") + F.col("box.width") / 2, F.col("box.y") + F.col("box.height") / 2
     inside = (cx >= F.col("_r.x")) & (cx <= F.col("_r.x") + F.col("_r.width")) & (cy >= F.col("_r.y")) & (cy <= F.col("_r.y") + F.col("_r.height"))
     return items.join(r, (items["image_id"] == r["image_id"]) & inside, "left_semi")
+
+
+#: Edge of a face detector's input, its strides.
+INPUT_EDGE, STRIDES = 640, (8, 16, 32)
+
+
+def decoded_faces(cells: DataFrame, least: float = FACE_SCORE, edge: int = INPUT_EDGE) -> DataFrame:
+    """Detections of a grid detector's outputs, (image_id, stride, idx, cls, obj, bbox array of dx, dy, log w, log h) a cell."""
+    inside = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
+    per_row = edge / F.col("stride")
+    cx, cy = (F.col("idx") % per_row + F.get("bbox", F.lit(0))) * F.col("stride"), (F.floor(F.col("idx") / per_row) + F.get("bbox", F.lit(1))) * F.col("stride")
+    w, h = F.exp(F.get("bbox", F.lit(2))) * F.col("stride"), F.exp(F.get("bbox", F.lit(3))) * F.col("stride")
+    rows = cells.filter(F.col("stride").isin(*STRIDES)).withColumn("confidence", F.sqrt(inside("cls") * inside("obj"))).filter(F.col("confidence") >= least)
+    return rows.select("image_id", F.xxhash64("stride", "idx").alias("seq"), F.lit("faces_people").alias("category"), F.lit("vision").alias("source"), "confidence", box(cx - w / 2, cy - h / 2, w, h).alias("box"))
+
+
+def corner_boxes(rows: DataFrame) -> DataFrame:
+    """rows with `box` in whole pixels from corners (xmin, ymin, xmax, ymax), or from a place and a size where corners are missing."""
+    x0, y0 = F.coalesce("xmin", "x", F.lit(0.0)), F.coalesce("ymin", "y", F.lit(0.0))
+    x1, y1 = F.coalesce(F.col("xmax"), x0 + F.coalesce("width", F.lit(0.0))), F.coalesce(F.col("ymax"), y0 + F.coalesce("height", F.lit(0.0)))
+    return rows.withColumn("box", box(F.round(x0), F.round(y0), F.round(F.greatest(F.lit(0.0), x1 - x0)), F.round(F.greatest(F.lit(0.0), y1 - y0))))
+
+
+def ocr_items(pages: DataFrame) -> DataFrame:
+    """(image_id, seq, text, confidence, box): the lines of nested OCR results, without blank ones; confidence from per cent.
+
+    pages: (image_id, blocks: array of paragraphs: array of lines: array of struct<text, confidence, bbox: struct<x0, y0, x1, y1>>).
+    """
+    lines = F.flatten(F.transform("blocks", lambda b: F.flatten(F.transform(b["paragraphs"], lambda p: p["lines"]))))
+    rows = pages.select("image_id", F.posexplode(lines).alias("seq", "line")).withColumn("text", F.trim("line.text")).filter("text <> ''")
+    b = F.col("line.bbox")
+    return rows.select("image_id", "seq", "text", (F.col("line.confidence") / 100).alias("confidence"), box(b["x0"], b["y0"], b["x1"] - b["x0"], b["y1"] - b["y0"]).alias("box"))
+
+
+def plausible_faces(detections: DataFrame, images: DataFrame) -> DataFrame:
+    """Face detections that can be faces by score, size, shape and share of their image (image_id, width, height)."""
+    joined = detections.join(images, "image_id")
+    return joined.filter(plausible_face(F.col("box"), F.col("confidence"), F.col("width"), F.col("height"))).drop("width", "height")

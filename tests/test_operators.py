@@ -147,6 +147,24 @@ def test_detections(spark):
     assert boxes.texts_in_regions(found, found.filter("seq = 0")).count() == 2
 
 
+def test_detector_outputs(spark):
+    cells = spark.createDataFrame([(1, 32, 21, 1.2, 0.81, [0.5, 0.25, 0.0, 0.0]), (1, 32, 0, 0.1, 0.1, [0.0] * 4)], "image_id int, stride int, idx int, cls double, obj double, bbox array<double>")
+    r = boxes.decoded_faces(cells).collect()
+    assert len(r) == 1 and abs(r[0]["confidence"] - 0.9) < 1e-9 and tuple(r[0]["box"]) == (1.5 * 32 - 16, 1.25 * 32 - 16, 32, 32)
+    assert boxes.plausible_faces(boxes.decoded_faces(cells), spark.createDataFrame([(1, 640, 640)], "image_id int, width int, height int")).count() == 1
+    corners = spark.createDataFrame([(1.4, 2.0, 5.6, 1.0, None, None, None, None), (None, None, None, None, 1.0, 2.0, 3.0, 4.0)], "xmin double, ymin double, xmax double, ymax double, x double, y double, width double, height double")
+    assert [tuple(r["box"]) for r in boxes.corner_boxes(corners).collect()] == [(1, 2, 4, 0), (1, 2, 3, 4)]
+    line = "struct<text:string,confidence:double,bbox:struct<x0:int,y0:int,x1:int,y1:int>>"
+    pages = spark.createDataFrame([(1, [([([(" hi ", 90.0, (1, 2, 4, 6)), (" ", 9.0, (0, 0, 1, 1))],)],)]), (2, None)], f"image_id int, blocks array<struct<paragraphs:array<struct<lines:array<{line}>>>>>")
+    assert [(r["image_id"], r["text"], r["confidence"], tuple(r["box"])) for r in boxes.ocr_items(pages).collect()] == [(1, "hi", 0.9, (1, 2, 3, 4))]
+
+
+def test_disabled_elements(spark):
+    page = spark.createDataFrame([(1, "<fieldset disabled><input id=a></fieldset><input id=b aria-disabled=true><input id=c>")], "page_id long, html string")
+    got = {r["attrs"]["id"]: r["disabled"] for r in elements.disabled(html.nodes(page)).filter("tag = 'input'").collect()}
+    assert got == {"a": True, "b": True, "c": False}
+
+
 def test_plans(spark):
     many = '{"actions":[' + ",".join(['{"type":"click","elementId":"element_1"}'] * 20) + '],"done":true}'
     raw = [
