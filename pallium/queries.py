@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -343,7 +344,8 @@ def html_headings(spark, sf_dir):
 
 
 def _elements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    nodes = html.nodes(table(spark, sf_dir, "pages"))
+    # the node table joins itself many times: parsed once, kept on the executors' disks, parsed again if one is lost
+    nodes = html.nodes(table(spark, sf_dir, "pages")).persist(StorageLevel.DISK_ONLY)
     return nodes, elements.admitted(nodes)
 
 
