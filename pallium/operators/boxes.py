@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pallium.functions.geometry import BOX, FACE_SCORE, SUPPRESS_IOU, box, covers_too_much, iou, pad, plausible_face
+from pallium.functions.geometry import BOX, FACE_SCORE, SUPPRESS_IOU, box, covers_too_much, iou, pad, plausible_face, touches
 
 
 def normalised(detections: DataFrame, images: DataFrame) -> DataFrame:
@@ -34,32 +33,34 @@ def non_maximum_suppression(detections: DataFrame, by: tuple[str, ...] = ("image
     return rows.select(*by, F.col("d.seq").alias("seq"), F.col("d.category").alias("category"), (-F.col("d.neg")).alias("confidence"), F.col("d.box").alias("box"))
 
 
+def _union(a: Column, b: Column) -> Column:
+    x, y = F.least(a["x"], b["x"]), F.least(a["y"], b["y"])
+    right, low = F.greatest(a["x"] + a["width"], b["x"] + b["width"]), F.greatest(a["y"] + a["height"], b["y"] + b["height"])
+    return F.struct(x.alias("x"), y.alias("y"), (right - x).alias("width"), (low - y).alias("height"), (a["n"] + b["n"]).alias("n"))
+
+
 def merged(detections: DataFrame) -> DataFrame:
-    """(image_id, category, box, n): boxes that touch, directly or through others, as one bounding box for each category."""
-    id_kind = detections.schema["image_id"].dataType.simpleString()
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        groups: list[list[float]] = []  # x0, y0, x1, y1, n
-        for r in rows:
-            b = r["box"]
-            new = [b["x"], b["y"], b["x"] + b["width"], b["y"] + b["height"], 1]
-            while True:  # a union may touch groups that its parts did not
-                hit = [g for g in groups if g[0] <= new[2] and new[0] <= g[2] and g[1] <= new[3] and new[1] <= g[3]]
-                if not hit:
-                    break
-                groups = [g for g in groups if g not in hit]
-                for g in hit:
-                    new = [min(new[0], g[0]), min(new[1], g[1]), max(new[2], g[2]), max(new[3], g[3]), new[4] + g[4]]
-            groups.append(new)
-        groups.sort()
-        boxes = [{"x": g[0], "y": g[1], "width": g[2] - g[0], "height": g[3] - g[1]} for g in groups]
-        shape = pa.struct([(k, pa.float64()) for k in ("x", "y", "width", "height")])
-        head = table.slice(0, 1)
-        take = pa.array([0] * len(groups), pa.int64())
-        return pa.table({"image_id": head.column("image_id").take(take), "category": head.column("category").take(take), "box": pa.array(boxes, shape), "n": pa.array([g[4] for g in groups], pa.int32())})
-
-    return detections.select("image_id", "category", "box").groupBy("image_id", "category").applyInArrow(run, f"image_id {id_kind}, category string, box {BOX}, n int")
+    """(image_id, category, box, n): boxes that touch, directly or through others, as one bounding box for each category.
+
+    A fold over an image's few boxes: a new box swallows what it touches until it touches nothing more.
+    """
+    group = "struct<x:double,y:double,width:double,height:double,n:int>"
+
+    def swallow(state: Column, new: Column) -> Column:
+        start = F.struct(new.alias("b"), state.alias("rest"))
+
+        def again(s, _):
+            hit = F.filter(s["rest"], lambda g: touches(g, s["b"]))
+            grown = F.aggregate(hit, s["b"], _union)
+            return F.struct(grown.alias("b"), F.filter(s["rest"], lambda g: ~touches(g, s["b"])).alias("rest"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(state)), start, again, lambda s: F.concat(s["rest"], F.array(s["b"])))
+
+    boxes = F.collect_list(F.struct("box.x", "box.y", "box.width", "box.height", F.lit(1).alias("n")))
+    rows = detections.groupBy("image_id", "category").agg(F.array_sort(boxes).cast(f"array<{group}>").alias("all"))
+    groups = F.when(F.size("all") < 2, F.col("all")).otherwise(F.aggregate("all", F.array().cast(f"array<{group}>"), swallow))
+    out = rows.select("image_id", "category", F.explode(groups).alias("g"))
+    return out.select("image_id", "category", box(*(F.col(f"g.{k}") for k in ("x", "y", "width", "height"))).alias("box"), F.col("g.n").alias("n"))
 
 
 def manifest(detections: DataFrame) -> DataFrame:

@@ -40,7 +40,9 @@ def matches(text: Column, matcher: Matcher, ordinal: int) -> Column:
         return F.struct((begin + F.coalesce(F.length(raw), F.lit(0))).alias("at"), F.when(good, F.concat(state["hits"], F.array(hit))).otherwise(state["hits"]).alias("hits"))
 
     scan = F.aggregate(pairs, start, add, lambda s: s["hits"])
-    return F.when(text.rlike(pattern), scan).otherwise(empty)
+    # few texts hold what a matcher needs; fewer a match; and only those are cut up
+    may = F.contains(text, F.lit(matcher.needs)) if matcher.needs.isalnum() or matcher.needs == "@" else text.rlike(matcher.needs)
+    return F.when(may & text.rlike(pattern), scan).otherwise(empty)
 
 
 def resolve(hits: Column) -> Column:
@@ -69,7 +71,8 @@ def find_values(
     """
     policy = catalog.normalise_policy(policy)
     window = text if scanned else scan_window(text, limit)
-    found = []
+    none = F.array().cast(f"array<{HIT}>")
+    found: dict[str, list[Column]] = {}
     for ordinal, matcher in enumerate(MATCHERS):
         if not policy[matcher.category]:
             continue
@@ -80,9 +83,15 @@ def find_values(
                 allowed = allowed | catalog.mentions(matcher.category, context)
             if admit is not None:
                 allowed = allowed | F.coalesce(F.array_contains(admit, matcher.category), F.lit(False))
-            hits = F.when(allowed, hits).otherwise(F.array().cast(f"array<{HIT}>"))
-        found.append(hits)
-    return resolve(F.concat(*found)) if found else F.array().cast(f"array<{HIT}>")
+            # the context is only read where the text has such a shape at all
+            hits = F.when(window.rlike(matcher.needs), F.when(allowed, hits).otherwise(none)).otherwise(none)
+        group = "[0-9]" if "0-9]" in matcher.needs or "]0[" in matcher.needs else "@" if matcher.needs == "@" else ""
+        found.setdefault(group, []).append(hits)
+    # texts without a digit pass by most matchers at the price of one look
+    tests = {"[0-9]": lambda: window.rlike("[0-9]"), "@": lambda: F.contains(window, F.lit("@"))}
+    groups = [F.when(tests[g](), F.concat(*hits)).otherwise(none) if g else F.concat(*hits) for g, hits in found.items()]
+    every = F.concat(*groups) if groups else none
+    return resolve(every)
 
 
 def spans(df: DataFrame, id_col: str, text_col: str = "text", **options) -> DataFrame:
