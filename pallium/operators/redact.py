@@ -74,7 +74,8 @@ def redact(
     part = text if limit is None else F.substring("_text", 1, limit)
     hits = find_values(part, policy, F.col(context) if context else None, F.col(admit) if admit else None, scanned=True)
     rows = strings.select(scope, F.col(pos).alias("pos"), F.col(field_pos).alias("field_pos"), text.alias("text"), F.when(text.endswith(ELLIPSIS), F.array(whole)).otherwise(hits).cast(f"array<{HIT}>").alias("hits"))
-    found = rows.select(scope, "pos", "field_pos", F.explode("hits").alias("h")).select(scope, "pos", "field_pos", "h.category", "h.confidence", "h.start", "h.length", "h.raw")
+    # explode_outer: for explode the optimiser adds a filter on the array, and so finds the hits a second time
+    found = rows.select(scope, "pos", "field_pos", F.explode_outer("hits").alias("h")).filter("h is not null").select(scope, "pos", "field_pos", "h.category", "h.confidence", "h.start", "h.length", "h.raw")
     minted = mint(found, scope)
     entry = F.struct("start", "length", "placeholder")
     by_text = minted.groupBy(scope, "pos", "field_pos").agg(F.array_sort(F.collect_list(entry)).alias("cuts"))
