@@ -3,14 +3,14 @@
 Texts become lower-case word tokens.  From every token of every document (and of every item) a CGK random walk
 starts: at step t it emits the token under its pointer, and moves on if a random bit drawn from (t, token)
 says so.  Windows at small edit distance then agree in most steps, so edit distance becomes Hamming distance;
-each of `WALKS` walks samples `SAMPLED` of its `STEPS` steps as one LSH key.  A window is as long as the item
-remains from its start; the walk only sees the first STEPS + 1 tokens at most, which all windows from one start
-share, so a start is embedded once for items of every length.  A key met by an item is a candidate at a known
-alignment, and the semi-global edit distance between the item and the aligned passage decides.
+each of `WALKS` walks samples `SAMPLED` of its `STEPS` steps as one LSH key.  So that words with a typo can still
+agree, only WHOLE walks read whole words; the others read three letters of each, its head or its tail, by the word's
+place from the start, in all ways for three words.  All windows from one start share its walks, so a start is
+embedded once for items of every length.  One key met by an item is a candidate at a known alignment.  A lower bound
+of the distance, for many candidates at a time, drops only what is beyond it for certain; the semi-global edit
+distance between the item and the aligned passage decides on the rest.
 
-Recall: with a share e of edited words, a key agrees with probability of about (1 - e) ** (2 * SAMPLED) at
-least; an item of n words has about n - 9 starts and WALKS keys at each, so that with e = 0.2, n = 15 and
-dependence between starts ignored 0.91 of the passages share the two keys that are NEEDED, with n = 37 all but 1e-6.
+Recall: measured, not proved; README.md and tests/llm/test_decontamination_recall.py hold it by item length and edits.
 
 Defined results: null and wordless texts and items meet nothing; items under `MIN_WORDS` words are only found
 as exact word sequences; repeated rows give repeated results; equal items are found one by one.
@@ -28,15 +28,19 @@ from pyspark.sql import functions as F
 
 from pallium.llm.common import slices
 
-WALKS = 6
-STEPS = 20
-SAMPLED = 5
+WALKS = 11
+STEPS = 5
+SAMPLED = 4
 SIMILARITY = 0.8
 MIN_WORDS = 10
-#: Keys that a text and an item must share; fewer where the item has fewer.
-NEEDED = 2
 #: Different words that an item's key must hold.
-LEAST_WORDS = 4
+LEAST_WORDS = 3
+#: What a walk may read of a word: the whole, its head, its tail. WHOLE walks read whole words, the others heads or tails.
+PARTS = (slice(None), slice(3), slice(-3, None))
+WHOLE = 3
+#: Letters of a piece of an item, one machine word of bits, and the alignments that are bounded together.
+PIECE = 63
+BOUNDED = 1024
 SEED = 7
 #: Items of one pass over the documents; more items mean more passes, so that a task's tables stay small.
 ITEMS_A_PASS = 20_000
@@ -53,14 +57,23 @@ def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multipliers of the walks, their sampled steps, and multipliers that mix a key."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1, 1 << 63, WALKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    each = STEPS // SAMPLED  # one step of each part of the walk, so that a key holds different words
-    steps = np.arange(SAMPLED) * each + rng.integers(0, each, (WALKS, SAMPLED))
+    steps = np.stack([np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(WALKS)])
     return odd, steps, rng.integers(1, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@cache
+def _parts() -> np.ndarray:
+    """Which of the PARTS each walk reads of the words from its start on: all ways to read three words, repeated."""
+    ways = np.arange(WALKS)[:, None] - WHOLE >> np.arange(STEPS) % 3
+    return np.where(np.arange(WALKS)[:, None] < WHOLE, 0, 1 + (ways & 1))
+
+
 def hashes_of(tokens: list[str]) -> np.ndarray:
-    """64-bit hashes of words. Only one task's tables and texts are held together, and Spark gives all workers one hash seed."""
-    return np.fromiter(map(hash, tokens), np.int64, len(tokens)).view(np.uint64)
+    """64-bit hashes of each of the PARTS of words, a row each. Only one task's tables and texts are held together, and
+    Spark gives all workers one hash seed."""
+    number = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
+    each = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    return np.stack([np.fromiter((hash(w[part]) for w in number), np.int64, len(number)).view(np.uint64)[each] for part in PARTS])
 
 
 def embed(hashes: np.ndarray, walk: int, count: bool = False) -> tuple[np.ndarray, ...]:
@@ -70,26 +83,33 @@ def embed(hashes: np.ndarray, walk: int, count: bool = False) -> tuple[np.ndarra
     hashes: of a token sequence that STEPS fillers end.
     """
     odd, steps, mix = _draws()
-    n = len(hashes) - STEPS
+    parts, length = _parts()[walk], hashes.shape[1]
+    n = length - STEPS
+    if parts.any():
+        rows, hashes = parts * length, hashes.ravel()
+    else:
+        rows, hashes = None, hashes[0]
     moves = hashes * odd[walk]
-    at = np.arange(n)
+    begin = np.arange(n)
+    at = begin.copy()
     key = np.zeros(n, np.uint64)
     last = int(steps[walk][-1])
     taken, before, different = 0, np.full(n, -1), np.zeros(n, np.int64)
     for t in range(last + 1):
+        read = at if rows is None else rows[at - begin] + at
         if t == steps[walk][taken]:
-            key ^= hashes[at] * mix[taken]
+            key ^= hashes[read] * mix[taken]
             key ^= key >> np.uint64(29)
             taken += 1
             if count:
                 different += at != before
                 before = at.copy()
         if t < last:
-            at += ((moves[at] >> np.uint64(63 - t)) & np.uint64(1)).astype(np.int64)
+            at += ((moves[read] >> np.uint64(63 - t)) & np.uint64(1)).astype(np.int64)
     return (key * odd[walk], at, different) if count else (key * odd[walk], at)
 
 
-_FILL = np.zeros(STEPS, np.uint64)
+_FILL = np.zeros((len(PARTS), STEPS), np.uint64)
 
 
 class Index:
@@ -108,17 +128,14 @@ class Index:
                 continue
             if not n:
                 continue
-            line = np.concatenate((hashes_of(tokens), _FILL))
+            line = np.concatenate((hashes_of(tokens), _FILL), axis=1)
             for walk in range(WALKS):
                 key, seen, different = embed(line, walk, True)
                 # a walk that stood still samples too few words to tell passages apart
                 ok = np.flatnonzero((seen < n) & (different >= LEAST_WORDS))
                 keys[walk].append((key[ok], np.full(len(ok), k), ok))
         self.tables = []
-        self.n_keys = np.zeros(len(items), np.int64)
         for found in keys:
-            for _, k, _ in found:
-                self.n_keys[k[:1]] += len(k) > 0
             key, item, start = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [[]] * 3))
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, bool)
@@ -132,18 +149,18 @@ class Index:
         return np.ceil((1 - similarity) * np.array([len(w) for w in self.words])).astype(np.int64) + 1
 
     def candidates(self, hashes: np.ndarray):
-        """(position, item, start in the item, place of the key's last word) of every key that a window meets."""
-        line = np.concatenate((hashes, _FILL))
+        """(position, item, start in the item) of every key that a window meets."""
+        line = np.concatenate((hashes, _FILL), axis=1)
         for walk, (keys, items, starts, seen) in enumerate(self.tables):
             if not len(keys):
                 continue
-            key, seen_to = embed(line, walk)
+            key, _ = embed(line, walk)
             at = np.flatnonzero(seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
             n = high - low
             if n.any():
                 rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(at, n), items[rows], starts[rows], np.repeat(seen_to[at] * WALKS + walk, n)
+                yield np.repeat(at, n), items[rows], starts[rows]
 
 
 def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
@@ -174,25 +191,70 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _codes(texts: list[str], width: int) -> np.ndarray:
+    """Texts as rows of six-bit codes; letters may share one, and 64 fills the rows."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) & 63
+    lengths = np.array([len(t) for t in texts])
+    out = np.full((len(texts), width), 64, np.uint8)
+    out[np.arange(width) < lengths[:, None]] = flat
+    return out
+
+
+def _least(pieces: list[str], pair: np.ndarray, read: np.ndarray) -> np.ndarray:
+    """Least edit distance between each piece and any substring of the text of its pair (Myers' bit vectors, side by side). read: places by texts."""
+    one, rows = np.uint64(1), np.arange(len(pieces))
+    peq = np.zeros((len(pieces), 65), np.uint64)
+    for j, column in enumerate(_codes(pieces, PIECE).T):
+        peq[rows, column] |= one << np.uint64(j)
+    peq[:, 64] = 0
+    peq, rows = peq.ravel(), rows * 65
+    score = np.array([len(p) for p in pieces])
+    top = score.astype(np.uint64) - one
+    best, pv, mv = score.copy(), np.full(len(pieces), ~np.uint64(0)), np.zeros(len(pieces), np.uint64)
+    for column in read:
+        eq = peq[rows + column[pair]]
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | ~(xh | pv)
+        mh = pv & xh
+        score += ((ph >> top) & one).view(np.int64)
+        score -= ((mh >> top) & one).view(np.int64)
+        ph <<= one
+        mh <<= one
+        pv = mh | ~(xv | ph)
+        mv = ph & xv
+        np.minimum(best, score, out=best)
+    return best
+
+
+def may_match(patterns: list[str], texts: list[str], most: np.ndarray) -> np.ndarray:
+    """False where each substring of the text is for certain further than `most` from the pattern.
+
+    A pattern is cut into pieces of one machine word; each is sought in the text by itself, for all pairs at a time, and
+    what the pieces need at least is needed in sum. Half of the pieces are enough to part most pairs.
+    """
+    bound, read = np.zeros(len(patterns)), np.ascontiguousarray(_codes(texts, max(map(len, texts))).T)
+    for half in (0, 1):
+        near = np.flatnonzero(bound <= most)
+        cut = [(k, p[len(p) * j // n : len(p) * (j + 1) // n]) for k in near.tolist() for p in [patterns[k]] for n in [-(-len(p) // PIECE)] for j in range(half, n, 2)]
+        if cut:
+            pair = np.array([k for k, _ in cut])
+            bound += np.bincount(pair, _least([p for _, p in cut], pair, read), len(patterns))
+    return bound <= most
+
+
 def _places(index: Index, hashes: np.ndarray, ends: np.ndarray, similarity: float):
-    """(text, item, first token, slack) of the alignments to verify: where a text and an item share NEEDED keys or more.
+    """(text, item, first token, slack) of the alignments to verify: wherever a text and an item share a key.
 
     Alignments within one slack of each other are verified together.
     """
     met = list(index.candidates(hashes))
     if not met:
         return
-    at, item, start, last = (np.concatenate(x) for x in zip(*met))
+    at, item, start = (np.concatenate(x) for x in zip(*met))
     text = np.searchsorted(ends, at, "right")
-    pair = text * len(index.ids) + item
-    # windows that start side by side soon walk the same way: a key counts once for each walk and last word
-    pairs, count = np.unique(np.unique(np.stack((pair, last)), axis=1)[0], return_counts=True)
-    count = count[np.searchsorted(pairs, pair)]
-    slack = index.slack(similarity)[item]
-    begins = np.concatenate(([0], ends))[text]
-    first = at - start - begins
-    keep = count >= np.minimum(NEEDED, index.n_keys[item])
-    rows = np.unique(np.stack((text, item, first // slack))[:, keep], axis=1)
+    first = at - start - np.concatenate(([0], ends))[text]
+    rows = np.unique(np.stack((text, item, first // index.slack(similarity)[item])), axis=1)
     for t, k, part in rows.T.tolist():
         s = int(index.slack(similarity)[k])
         yield t, k, part * s, s
@@ -206,17 +268,37 @@ def matches(index: Index, texts: list[str | None], similarity: float) -> list[tu
     if not flat:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # a similarity of just the threshold counts, however the product is rounded
+    most = [len(t) - similarity * len(t) + 1e-9 for t in index.texts]
+
+    def verify(open_places):
+        """Exact distances of what the lower bounds leave."""
+        open_places = [p for p in open_places if found.get(p[:2], (1,))[0]]
+        if not open_places:
+            return
+        patterns = [index.texts[k] for _, k, _, _ in open_places]
+        near = may_match(patterns, [joined for *_, joined in open_places], np.array([most[k] for _, k, _, _ in open_places]))
+        for at in np.flatnonzero(near).tolist():
+            (text, k, low, joined), pattern = open_places[at], patterns[at]
+            distance, end = edit_distance_within(pattern, joined)
+            if distance <= most[k] and distance < found.get((text, k), (1 << 30,))[0]:
+                found[text, k] = (distance, low + joined[: max(0, end - len(pattern))].count(" "), len(index.words[k]))
+
+    waiting = []
     for text, k, first, slack in _places(index, hashes_of(flat), ends, similarity):
         if found.get((text, k), (1,))[0] == 0:
             continue
-        item, pattern = index.words[k], index.texts[k]
         low = max(0, first - slack)
-        joined = " ".join(token_lists[text][low : max(0, first + len(item) + 2 * slack)])
-        spot = joined.find(pattern)
-        distance, end = (0, spot + len(pattern)) if spot >= 0 else edit_distance_within(pattern, joined)
-        if distance <= (1 - similarity) * len(pattern) and distance < found.get((text, k), (1 << 30,))[0]:
-            begin = low + joined[: max(0, end - len(pattern))].count(" ")
-            found[text, k] = (distance, begin, len(item))
+        joined = " ".join(token_lists[text][low : max(0, first + len(index.words[k]) + 2 * slack)])
+        spot = joined.find(index.texts[k])
+        if spot >= 0:
+            found[text, k] = (0, low + joined[:spot].count(" "), len(index.words[k]))
+        elif joined:
+            waiting.append((text, k, low, joined))
+        if len(waiting) >= BOUNDED:
+            verify(waiting)
+            waiting = []
+    verify(waiting)
     for n, sequences in index.short.items():
         for text, tokens in enumerate(token_lists):
             for p in range(len(tokens) - n + 1):
