@@ -1,40 +1,52 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit verification.
 
-Texts become lower-case word tokens.  From every token of every document (and of every item) a CGK random walk
-starts: at step t it emits the token under its pointer, and moves on if a random bit drawn from (t, token)
-says so.  Windows at small edit distance then agree in most steps, so edit distance becomes Hamming distance;
-each of `WALKS` walks samples `SAMPLED` of its `STEPS` steps as one LSH key.  So that words with a typo can still
-agree, only WHOLE walks read whole words; the others read three letters of each, its head or its tail, by the word's
-place from the start, in all ways for three words.  All windows from one start share its walks, so a start is
-embedded once for items of every length.  One key met by an item is a candidate at a known alignment.  A lower bound
-of the distance, for many candidates at a time, drops only what is beyond it for certain; the semi-global edit
-distance between the item and the aligned passage decides on the rest.
+Texts become lower-case word tokens; in scripts that set no blanks each character is a token of its own.  From every
+token of every document (and of every item) a CGK random walk starts: at step t it emits the token under its pointer,
+and moves on if a random bit drawn from (t, token) says so.  Windows at small edit distance then agree in most steps,
+so edit distance becomes Hamming distance; each of `WALKS` walks samples some of its steps as one LSH key.  So that
+words with a typo can still agree, only WHOLE walks read whole words; the others read three letters of each, its head
+or its tail, by the word's place from the start, in all ways for three words.  All windows from one start share its
+walks, so a start is embedded once for items of every length; short items have shorter walks (`FAMILIES`), which are
+only made where such items are.  One key met by an item is a candidate at a known alignment.  A lower bound of the
+distance, for many candidates at a time, drops only what is beyond it for certain; the semi-global edit distance
+between the item and the aligned passage decides on the rest.
 
 Recall: measured, not proved; README.md and tests/llm/test_decontamination_recall.py hold it by item length and edits.
 
 Defined results: null and wordless texts and items meet nothing; items under `MIN_WORDS` words are only found
-as exact word sequences; repeated rows give repeated results; equal items are found one by one.
+as exact word sequences; repeated rows give repeated results; equal items are found one by one; empty tables of
+documents or items give no row; texts of any length are read whole; other columns of docs are not read.
 """
 
 from __future__ import annotations
 
 import re
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import slices
+from pallium.llm.common import saved, slices
 
 WALKS = 11
-STEPS = 5
-SAMPLED = 4
 SIMILARITY = 0.8
-MIN_WORDS = 10
-#: Different words that an item's key must hold.
-LEAST_WORDS = 3
+MIN_WORDS = 3
+
+
+class Family(NamedTuple):
+    """Items from `words` words on: steps of their walks, how many a key samples, and how many different words, or parts of them, it must hold."""
+
+    words: int
+    steps: int
+    sampled: int
+    different: int
+
+
+FAMILIES = (Family(10, 5, 4, 3), Family(6, 4, 3, 2), Family(MIN_WORDS, 3, 2, 2))
+STEPS = max(f.steps for f in FAMILIES)
 #: What a walk may read of a word: the whole, its head, its tail. WHOLE walks read whole words, the others heads or tails.
 PARTS = (slice(None), slice(3), slice(-3, None))
 WHOLE = 3
@@ -42,23 +54,51 @@ WHOLE = 3
 PIECE = 63
 BOUNDED = 1024
 SEED = 7
-#: Items of one pass over the documents; more items mean more passes, so that a task's tables stay small.
+#: Items, and bytes of them, of one pass over the documents; more mean more passes, so that a task's tables stay small.
 ITEMS_A_PASS = 20_000
+BYTES_A_PASS = 1 << 25
+#: Documents found that are dropped by a broadcast of their marks (8 MB); beyond them the join shuffles.
+BROADCAST_MARKS = 1_000_000
+#: Distinct words whose hashes a task remembers; beyond them the memo starts anew.
+MEMO = 300_000
+#: Blocks of letters that are written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
+_SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
-_TABLE_BITS = 20
+_MIXED = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+")
+_HAS_SOLID = re.compile(f"[{_SOLID}]")
+_TABLE_BITS = 18
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    low = (text or "").lower()
+    return (_WORD if low.isascii() or not _HAS_SOLID.search(low) else _MIXED).findall(low)
+
+
+def spelled(tokens: list[str]) -> tuple[str, np.ndarray]:
+    """The tokens as one text, a blank between two unless both are letters of their own, and where each starts."""
+    joined = " ".join(tokens)
+    if not joined.isascii() and _HAS_SOLID.search(joined):
+        out, starts, at, solid = [], [], 0, False
+        for w in tokens:
+            mine = len(w) == 1 and bool(_HAS_SOLID.match(w))
+            if out and not (solid and mine):
+                out.append(" ")
+                at += 1
+            out.append(w)
+            starts.append(at)
+            at, solid = at + len(w), mine
+        return "".join(out), np.array(starts)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    return joined, np.concatenate(([0], ends[:-1]))
 
 
 @cache
-def _draws() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _draws(family: Family) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Multipliers of the walks, their sampled steps, and multipliers that mix a key."""
     rng = np.random.default_rng(SEED)
     odd = rng.integers(1, 1 << 63, WALKS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    steps = np.stack([np.sort(rng.choice(STEPS, SAMPLED, replace=False)) for _ in range(WALKS)])
-    return odd, steps, rng.integers(1, 1 << 63, SAMPLED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    steps = np.stack([np.sort(rng.choice(family.steps, family.sampled, replace=False)) for _ in range(WALKS)])
+    return odd, steps, rng.integers(1, 1 << 63, family.sampled, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 @cache
@@ -68,80 +108,103 @@ def _parts() -> np.ndarray:
     return np.where(np.arange(WALKS)[:, None] < WHOLE, 0, 1 + (ways & 1))
 
 
+class Hashes:
+    """64-bit hashes of each of the PARTS of words, a row each; those of distinct words are remembered up to a bound.
+
+    Only one task's tables and texts are held together, and Spark gives all workers one hash seed.
+    """
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((len(PARTS), 1 << 12), np.uint64)
+
+    def of(self, tokens: list[str]) -> np.ndarray:
+        new = set(tokens).difference(self.number)
+        if len(self.number) + len(new) > MEMO:
+            self.number, new = {}, set(tokens)
+        start, end = len(self.number), len(self.number) + len(new)
+        if end > self.rows.shape[1]:
+            grown = np.zeros((len(PARTS), 2 * end), np.uint64)
+            grown[:, :start] = self.rows[:, :start]
+            self.rows = grown
+        for row, part in zip(self.rows, PARTS):
+            row[start:end] = np.fromiter(map(hash, new if part == slice(None) else [w[part] for w in new]), np.int64, len(new)).view(np.uint64)
+        self.number.update(zip(new, range(start, end)))
+        return self.rows.take(np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens)), axis=1)
+
+
 def hashes_of(tokens: list[str]) -> np.ndarray:
-    """64-bit hashes of each of the PARTS of words, a row each. Only one task's tables and texts are held together, and
-    Spark gives all workers one hash seed."""
-    number = {w: k for k, w in enumerate(dict.fromkeys(tokens))}
-    each = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
-    return np.stack([np.fromiter((hash(w[part]) for w in number), np.int64, len(number)).view(np.uint64)[each] for part in PARTS])
+    return Hashes().of(tokens)
 
 
-def embed(hashes: np.ndarray, walk: int, count: bool = False) -> tuple[np.ndarray, ...]:
+def embed(hashes: np.ndarray, walk: int, family: Family = FAMILIES[0], count: bool = False) -> tuple[np.ndarray, ...]:
     """For a window from every position: the walk's LSH key, the furthest position that the key saw, and
-    with `count` how many positions it saw.
+    with `count` how many different values it holds.
 
     hashes: of a token sequence that STEPS fillers end.
     """
-    odd, steps, mix = _draws()
+    odd, steps, mix = _draws(family)
     parts, length = _parts()[walk], hashes.shape[1]
     n = length - STEPS
     if parts.any():
         rows, hashes = parts * length, hashes.ravel()
     else:
         rows, hashes = None, hashes[0]
-    moves = hashes * odd[walk]
     begin = np.arange(n)
     at = begin.copy()
     key = np.zeros(n, np.uint64)
     last = int(steps[walk][-1])
-    taken, before, different = 0, np.full(n, -1), np.zeros(n, np.int64)
+    taken, values = 0, []
     for t in range(last + 1):
-        read = at if rows is None else rows[at - begin] + at
+        value = hashes[at if rows is None else rows[at - begin] + at]
         if t == steps[walk][taken]:
-            key ^= hashes[read] * mix[taken]
+            key ^= value * mix[taken]
             key ^= key >> np.uint64(29)
             taken += 1
             if count:
-                different += at != before
-                before = at.copy()
+                values.append(value)
         if t < last:
-            at += ((moves[read] >> np.uint64(63 - t)) & np.uint64(1)).astype(np.int64)
-    return (key * odd[walk], at, different) if count else (key * odd[walk], at)
+            at += ((value * odd[walk] >> np.uint64(63 - t)) & np.uint64(1)).view(np.int64)
+    if not count:
+        return key * odd[walk], at
+    return key * odd[walk], at, 1 + (np.diff(np.sort(values, axis=0), axis=0) != 0).sum(0)
 
 
 _FILL = np.zeros((len(PARTS), STEPS), np.uint64)
 
 
 class Index:
-    """The items of one pass: their keys by walk, and short items by their whole sequence."""
+    """The items of one pass: their keys by family and walk, and the shortest items by their whole sequence."""
 
     def __init__(self, items: list[tuple[object, str]]):
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
-        self.texts = [" ".join(w) for w in self.words]
-        keys: list[list] = [[] for _ in range(WALKS)]
+        self.texts = [spelled(w)[0] for w in self.words]
+        self.hashes = Hashes()
         self.short: dict[int, dict[tuple, list[int]]] = {}
+        keys: dict[tuple, list] = {}
         for k, tokens in enumerate(self.words):
             n = len(tokens)
             if 0 < n < MIN_WORDS:
                 self.short.setdefault(n, {}).setdefault(tuple(tokens), []).append(k)
+            if n < MIN_WORDS:
                 continue
-            if not n:
-                continue
-            line = np.concatenate((hashes_of(tokens), _FILL), axis=1)
+            family = next(f for f in FAMILIES if n >= f.words)
+            line = np.concatenate((self.hashes.of(tokens), _FILL), axis=1)
             for walk in range(WALKS):
-                key, seen, different = embed(line, walk, True)
-                # a walk that stood still samples too few words to tell passages apart
-                ok = np.flatnonzero((seen < n) & (different >= LEAST_WORDS))
-                keys[walk].append((key[ok], np.full(len(ok), k), ok))
+                key, seen, different = embed(line, walk, family, True)
+                # a key of too few different words cannot tell passages apart
+                ok = np.flatnonzero((seen < n) & (different >= family.different))
+                keys.setdefault((family, walk), []).append((key[ok], np.full(len(ok), k, np.int32), ok.astype(np.int32)))
         self.tables = []
-        for found in keys:
-            key, item, start = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else [[]] * 3))
+        for (family, walk), found in keys.items():
+            key, item, start = (np.concatenate(x) for x in zip(*found))
+            if not len(key):
+                continue
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << _TABLE_BITS, bool)
-            if len(key):
-                seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            self.tables.append((key[order], item[order], start[order], seen))
+            seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
+            self.tables.append((family, walk, key[order], item[order], start[order], seen))
 
     @cache
     def slack(self, similarity: float) -> np.ndarray:
@@ -151,16 +214,14 @@ class Index:
     def candidates(self, hashes: np.ndarray):
         """(position, item, start in the item) of every key that a window meets."""
         line = np.concatenate((hashes, _FILL), axis=1)
-        for walk, (keys, items, starts, seen) in enumerate(self.tables):
-            if not len(keys):
-                continue
-            key, _ = embed(line, walk)
+        for family, walk, keys, items, starts, seen in self.tables:
+            key, _ = embed(line, walk, family)
             at = np.flatnonzero(seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
             low, high = np.searchsorted(keys, key[at], "left"), np.searchsorted(keys, key[at], "right")
             n = high - low
             if n.any():
                 rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                yield np.repeat(at, n), items[rows], starts[rows]
+                yield np.repeat(at, n), items[rows].astype(np.int64), starts[rows].astype(np.int64)
 
 
 def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
@@ -202,27 +263,40 @@ def _codes(texts: list[str], width: int) -> np.ndarray:
 
 def _least(pieces: list[str], pair: np.ndarray, read: np.ndarray) -> np.ndarray:
     """Least edit distance between each piece and any substring of the text of its pair (Myers' bit vectors, side by side). read: places by texts."""
-    one, rows = np.uint64(1), np.arange(len(pieces))
+    zero, one, rows = np.uint64(0), np.uint64(1), np.arange(len(pieces))
     peq = np.zeros((len(pieces), 65), np.uint64)
     for j, column in enumerate(_codes(pieces, PIECE).T):
         peq[rows, column] |= one << np.uint64(j)
     peq[:, 64] = 0
     peq, rows = peq.ravel(), rows * 65
-    score = np.array([len(p) for p in pieces])
-    top = score.astype(np.uint64) - one
+    score = np.array([len(p) for p in pieces], np.int8)
+    top = one << (score.astype(np.uint64) - one)
     best, pv, mv = score.copy(), np.full(len(pieces), ~np.uint64(0)), np.zeros(len(pieces), np.uint64)
+    eq, xv, xh, ph, mh = (np.empty_like(mv) for _ in range(5))
+    place, bit, read = np.empty_like(rows), np.empty(len(pieces), bool), read.astype(np.int64)
     for column in read:
-        eq = peq[rows + column[pair]]
-        xv = eq | mv
-        xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
-        mh = pv & xh
-        score += ((ph >> top) & one).view(np.int64)
-        score -= ((mh >> top) & one).view(np.int64)
+        np.take(column, pair, out=place, mode="clip")
+        place += rows
+        np.take(peq, place, out=eq, mode="clip")
+        np.bitwise_or(eq, mv, out=xv)
+        np.bitwise_and(eq, pv, out=xh)
+        xh += pv
+        xh ^= pv
+        xh |= eq
+        np.bitwise_or(xh, pv, out=ph)
+        np.invert(ph, out=ph)
+        ph |= mv
+        np.bitwise_and(pv, xh, out=mh)
+        np.not_equal(np.bitwise_and(ph, top, out=eq), zero, out=bit)
+        score += bit.view(np.int8)
+        np.not_equal(np.bitwise_and(mh, top, out=eq), zero, out=bit)
+        score -= bit.view(np.int8)
         ph <<= one
         mh <<= one
-        pv = mh | ~(xv | ph)
-        mv = ph & xv
+        np.bitwise_or(xv, ph, out=pv)
+        np.invert(pv, out=pv)
+        pv |= mh
+        np.bitwise_and(ph, xv, out=mv)
         np.minimum(best, score, out=best)
     return best
 
@@ -244,7 +318,7 @@ def may_match(patterns: list[str], texts: list[str], most: np.ndarray) -> np.nda
 
 
 def _places(index: Index, hashes: np.ndarray, ends: np.ndarray, similarity: float):
-    """(text, item, first token, slack) of the alignments to verify: wherever a text and an item share a key.
+    """(text, item, first token, last first token, slack) of the alignments to verify: wherever a text and an item share a key.
 
     Alignments within one slack of each other are verified together.
     """
@@ -254,10 +328,13 @@ def _places(index: Index, hashes: np.ndarray, ends: np.ndarray, similarity: floa
     at, item, start = (np.concatenate(x) for x in zip(*met))
     text = np.searchsorted(ends, at, "right")
     first = at - start - np.concatenate(([0], ends))[text]
-    rows = np.unique(np.stack((text, item, first // index.slack(similarity)[item])), axis=1)
-    for t, k, part in rows.T.tolist():
-        s = int(index.slack(similarity)[k])
-        yield t, k, part * s, s
+    slack = index.slack(similarity)
+    part = first // slack[item]
+    order = np.lexsort((first, item, text))
+    text, item, first, part = text[order], item[order], first[order], part[order]
+    new = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (part[1:] != part[:-1]))))
+    last = first[np.append(new[1:], len(first)) - 1]
+    yield from zip(text[new].tolist(), item[new].tolist(), first[new].tolist(), last.tolist(), slack[item[new]].tolist())
 
 
 def matches(index: Index, texts: list[str | None], similarity: float) -> list[tuple[int, int, int, int, int]]:
@@ -268,9 +345,14 @@ def matches(index: Index, texts: list[str | None], similarity: float) -> list[tu
     if not flat:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    lines: dict[int, tuple[str, list[int]]] = {}
     # a similarity of just the threshold counts, however the product is rounded
     most = [len(t) - similarity * len(t) + 1e-9 for t in index.texts]
 
+    def keep(text, k, distance, at):
+        """Note a distance whose passage starts at a letter of the text."""
+        found[text, k] = (distance, max(0, int(np.searchsorted(lines[text][1], at, "right")) - 1), len(index.words[k]))
+
     def verify(open_places):
         """Exact distances of what the lower bounds leave."""
         open_places = [p for p in open_places if found.get(p[:2], (1,))[0]]
@@ -282,17 +364,21 @@ def matches(index: Index, texts: list[str | None], similarity: float) -> list[tu
             (text, k, low, joined), pattern = open_places[at], patterns[at]
             distance, end = edit_distance_within(pattern, joined)
             if distance <= most[k] and distance < found.get((text, k), (1 << 30,))[0]:
-                found[text, k] = (distance, low + joined[: max(0, end - len(pattern))].count(" "), len(index.words[k]))
+                keep(text, k, distance, low + max(0, end - len(pattern)))
 
     waiting = []
-    for text, k, first, slack in _places(index, hashes_of(flat), ends, similarity):
+    for text, k, first, last, slack in _places(index, index.hashes.of(flat), ends, similarity):
         if found.get((text, k), (1,))[0] == 0:
             continue
-        low = max(0, first - slack)
-        joined = " ".join(token_lists[text][low : max(0, first + len(index.words[k]) + 2 * slack)])
+        if text not in lines:
+            lines[text] = spelled(token_lists[text])
+        line, starts = lines[text]
+        high = last + len(index.words[k]) + slack
+        low = starts[max(0, first - slack)]
+        joined = line[low : starts[high] if high < len(starts) else len(line)]
         spot = joined.find(index.texts[k])
         if spot >= 0:
-            found[text, k] = (0, low + joined[:spot].count(" "), len(index.words[k]))
+            keep(text, k, 0, low + spot)
         elif joined:
             waiting.append((text, k, low, joined))
         if len(waiting) >= BOUNDED:
@@ -312,10 +398,11 @@ def contaminated(
 ) -> DataFrame:
     """(id_col, item_id, distance, similarity, first_token, n_tokens) of every document and item that match.
 
-    Items are a stated query set: each pass reads at most ITEMS_A_PASS of them into every task.
+    Items are a stated query set: each pass reads about ITEMS_A_PASS of them, or BYTES_A_PASS of their text, into every task.
     """
     listed = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null")
-    passes = max(1, -(-listed.count() // ITEMS_A_PASS))
+    size = listed.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("bytes")).first()
+    passes = max(1, -(-size["n"] // ITEMS_A_PASS), -(-size["bytes"] // BYTES_A_PASS))
     part = F.pmod(F.xxhash64("i", "t"), F.lit(passes))
     out = None
     for k in range(passes):
@@ -355,8 +442,13 @@ def _pass(docs, held, id_col, text_col, item_kind, item_id, similarity) -> DataF
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those that hold a passage of an item; rows without id are judged by their text alone."""
+    """docs without those that hold a passage of an item; rows without id are judged by their text alone.
+
+    What was found is written first; its marks are broadcast while they are few, so that texts don't move.
+    """
     mark = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_col)
     found = contaminated(docs.select(mark.alias("mark"), F.col(text_col).alias("text")), items, "mark")
-    bad = found.select(F.col("mark").alias("_contaminated")).distinct()
-    return docs.join(bad, mark == bad["_contaminated"], "left_anti")
+    bad = saved(found.select(F.col("mark").alias("_contaminated")).distinct(), "contaminated")
+    if bad.count() <= BROADCAST_MARKS:
+        bad = F.broadcast(bad)
+    return docs.join(bad, mark == F.col("_contaminated"), "left_anti")

@@ -61,3 +61,36 @@ def test_the_bound_drops_no_pair_within_the_distance():
     most = np.array([decontam.edit_distance_within(p, t)[0] for p, t in zip(patterns, texts)])
     assert decontam.may_match(patterns, texts, most).all()
     assert not decontam.may_match(["abcdefgh" * 20], ["zyxw" * 60], np.array([32])).any()
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 7, 8, 9])
+@pytest.mark.parametrize("kind, rate", [("words", 0.15), ("typos", 0.34), ("typos", 0.6)])
+def test_recall_of_short_items(n, kind, rate):
+    rng = random.Random(10)
+    items = [[word(rng) for _ in range(n)] for _ in range(150)]
+    index = decontam.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    docs = [" ".join([word(rng) for _ in range(30)] + edited(rng, w, kind, rate) + [word(rng) for _ in range(30)]) for w in items]
+    near = [i for i, doc in enumerate(docs) if decontam.edit_distance_within(index.texts[i], doc)[0] <= 0.2 * len(index.texts[i])]
+    met = {(t, k) for t, k, *_ in decontam.matches(index, docs, 0.8)}
+    assert near and sum((i, i) in met for i in near) >= 0.9 * len(near)
+
+
+@pytest.mark.parametrize("rate", [0, 0.1, 0.18])
+def test_scripts_without_blanks(rate):
+    rng = random.Random(11)
+    letters = [chr(c) for c in range(0x4E00, 0x4F80)]
+    items = ["".join(rng.choices(letters, k=rng.randint(12, 60))) for _ in range(60)]
+    index = decontam.Index(list(enumerate(items)))
+    assert index.texts == items
+    change = lambda text: "".join(rng.choice(letters) if rng.random() < rate else c for c in text)
+    docs = ["a " + "".join(rng.choices(letters, k=80)) + change(t) + "".join(rng.choices(letters, k=40)) + " z" for t in items]
+    near = [i for i, doc in enumerate(docs) if decontam.edit_distance_within(items[i], doc)[0] <= 0.2 * len(items[i])]
+    met = {(t, k) for t, k, *_ in decontam.matches(index, docs, 0.8)}
+    assert len(near) > 30 and sum((i, i) in met for i in near) >= 0.9 * len(near)
+
+
+def test_places_of_tokens_in_the_text():
+    for text in ("one two  three", "漢字 mixed 漢 text字", ""):
+        tokens = decontam.words(text)
+        line, starts = decontam.spelled(tokens)
+        assert [line[s : s + len(w)] for s, w in zip(starts, tokens)] == tokens
