@@ -1,12 +1,13 @@
 """Quality: ordinal cumulative-link regression on graded ratings over hashed text features.
 
 P(grade <= k) = sigmoid(threshold[k] - w . x) with one weight vector for all grades and increasing thresholds.
-x holds hashed shares of n-grams of the text's shape, and a few hashed text-level buckets.  The weights are fitted on
-a bounded sample, FIT_ROWS labelled rows at most, chosen by a hash of the id; the grades and their shares come
-from all labels.
+x holds hashed shares of the text's lower-case words and pairs of neighbours, of n-grams of its shape, and a few
+hashed text-level buckets.  The weights are fitted on a bounded sample, FIT_ROWS labelled rows at most, chosen by a
+hash of the id; the grades and their shares come from all labels.  A score depends on its own text alone, to the bit.
 
-Defined results: a null text counts as empty; unrated rows teach nothing; of repeated ratings of an id the
-smallest counts; a single grade makes every row expect that grade; without ratings the grade is null.
+Defined results: a null text counts as empty; texts are read whole at any length; unrated rows teach nothing; of
+repeated ratings of an id the smallest counts; repeated rows get equal scores; a single grade makes every row expect
+that grade; without ratings the grade is null; an empty table gives an empty result; other columns are not read.
 """
 
 import math
@@ -32,75 +33,86 @@ RATE = 0.05
 DECAY = 1e-4
 #: Most distinct grades; ratings beyond that are refused rather than binned.
 MAX_GRADES = 32
-_BYTES = 1 << 18
+#: Weights of the shares of shape n-grams and of words, and the value of a bucket.
+SHAPES, WORDS, BUCKET = 12.0, 4.0, 0.5
+#: Distinct words whose hashes a worker remembers; beyond them the memo starts anew.
+MEMO = 300_000
 #: Byte classes: small letters and all beyond ASCII, capitals, digits, blanks; other signs stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[*range(97, 123), *range(128, 256)]] = 97
 _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 10, 11, 12, 13]] = 65, 48, 32
+_STEP, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
+
+
+def _crc(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def _number(text: str) -> int:
-    return zlib.crc32(text.encode()) & (SIZE - 1)
+    return _crc(text) & (SIZE - 1)
+
+
+def _fold(hashes: np.ndarray) -> np.ndarray:
+    """Feature numbers of 32-bit hashes."""
+    return ((hashes ^ (hashes >> np.uint32(15))) * _MIX >> np.uint32(32 - BITS)).astype(np.int32)
 
 
 class Features:
-    """Hashed features of texts: the share of each n-gram of the text's shape, and a few text-level buckets.
+    """Hashed features of texts: shares of shape n-grams, shares of words and pairs, and a few text-level buckets.
 
-    The shape is the sequence of byte classes in which a class stands at most twice in a row.
+    The shape is the sequence of byte classes, a blank at either end, in which a class stands at most twice in a row.
     """
 
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
     @staticmethod
-    def buckets(text: str) -> list[int]:
-        words = text.split()
+    def buckets(words: list[str], letters: int) -> np.ndarray:
         n = len(words)
         out = [_number(f"words={int(math.log2(n + 1))}")]
         if n:
             again = sum(map(eq, words, islice(words, 1, None)))
             out.append(_number(f"again={math.ceil(10 * again / n)}"))
             out.append(_number(f"distinct={int(10 * len(set(words)) / n)}"))
-            out.append(_number(f"length={min(12, len(text) // n)}"))
-        return out
+            out.append(_number(f"length={min(12, letters // n)}"))
+        return np.array(out, np.int32)
 
     @staticmethod
-    def shapes(raws: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The feature number at each place of the joined shapes for each n, and where each text starts."""
-        kinds = _CLASS[np.frombuffer(b"".join(raws), np.uint8)]
+    def shapes(text: str) -> np.ndarray:
+        kinds = _CLASS[np.frombuffer(b" " + text.encode("utf-8", "surrogatepass") + b" ", np.uint8)]
         keep = np.ones(len(kinds), bool)
         keep[2:] = (kinds[2:] != kinds[1:-1]) | (kinds[2:] != kinds[:-2])
-        before = np.concatenate(([0], np.cumsum(keep)))
-        starts = before[np.cumsum([0, *map(len, raws)])]
         kinds = kinds[keep]
-        h, out = kinds.astype(np.uint32), []
-        for n in range(2, HIGH_N + 1):
-            h = h[:-1] * np.uint32(0x01000193) + kinds[n - 1 :]
+        h, out = kinds.astype(np.uint32), [np.zeros(0, np.int32)]
+        for n in range(2, min(HIGH_N, len(kinds)) + 1):
+            h = h[:-1] * _STEP + kinds[n - 1 :]
             if n >= LOW_N:
-                out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.int32))
-        return out, starts
-
-    def of(self, texts: list[str | None]):
-        """(n-gram numbers, bucket numbers) of each text."""
-        start = 0
-        while start < len(texts):
-            raws, size = [], 0
-            while start + len(raws) < len(texts) and size < _BYTES:
-                raws.append(b" " + (texts[start + len(raws)] or "").encode("utf-8", "surrogatepass") + b" " * HIGH_N)
-                size += len(raws[-1])
-            hashed, starts = self.shapes(raws)
-            for k in range(len(raws)):
-                # HIGH_N blanks shrink to two: the last n-grams of a text reach into the next one's first blank
-                a, b = starts[k], max(starts[k] + 1, starts[k + 1] - HIGH_N)
-                yield np.concatenate([x[a:b] for x in hashed]), self.buckets(texts[start + k] or "")
-            start += len(raws)
-
-    def rows(self, texts: list[str | None]):
-        """(numbers, values) of each text: shares of n-grams times SHARE, and 0.5 for each bucket."""
-        for numbers, buckets in self.of(texts):
-            found, n = np.unique(numbers, return_counts=True)
-            yield np.concatenate((found, buckets)).astype(np.int64), np.concatenate((SHARE * n / max(1, len(numbers)), np.full(len(buckets), 0.5)))
-
-
-#: Weight of the n-gram shares against the buckets.
-SHARE = 12.0
+                out.append(_fold(h))
+        return np.concatenate(out)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words and of the pairs of neighbours."""
+        new = set(words).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, set(words)
+        self.memo.update((w, _crc(w)) for w in new)
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint32, len(words))
+        return _fold(np.concatenate((h, h[:-1] * _STEP + h[1:])))
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(shape numbers, word and pair numbers, bucket numbers) of a text."""
+        text = text or ""
+        words = text.lower().split()
+        return self.shapes(text), self.words(words), self.buckets(words, len(text))
+
+    def row(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, values) of a text."""
+        numbers, values = [], []
+        for found, weight in zip(self.of(text), (SHAPES, WORDS, None)):
+            distinct, n = np.unique(found, return_counts=True)
+            numbers.append(distinct)
+            values.append(BUCKET * n if weight is None else weight * n / max(1, len(found)))
+        return np.concatenate(numbers).astype(np.int64), np.concatenate(values)
 
 
 @dataclass
@@ -111,8 +123,10 @@ class Model:
 
     def tails(self, texts: list[str | None], features: Features) -> np.ndarray:
         """P(grade >= grades[k]) by text, for k from 1."""
-        w = self.weights
-        at = np.array([SHARE * w[n].sum() / max(1, len(n)) + 0.5 * w[b].sum() for n, b in features.of(texts)], np.float64).reshape(-1, 1)
+        w, at = self.weights, np.zeros((len(texts), 1))
+        for row, text in enumerate(texts):
+            shapes, words, buckets = features.of(text)
+            at[row] = SHAPES * w[shapes].sum() / max(1, len(shapes)) + WORDS * w[words].sum() / max(1, len(words)) + BUCKET * w[buckets].sum()
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - at, -500, 500)))
 
     def expected(self, tails: np.ndarray) -> np.ndarray:
@@ -170,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = Features()
     if not found:
         return Model(grades, np.zeros(SIZE), np.log(np.cumsum(n)[:-1] / (n.sum() - np.cumsum(n)[:-1])))
-    return fit(list(features.rows([r["_text"] for r in found])), np.searchsorted(grades, [r["_grade"] for r in found]), grades, n / n.sum())
+    return fit([features.row(r["_text"]) for r in found], np.searchsorted(grades, [r["_grade"] for r in found]), grades, n / n.sum())
 
 
 def score_column(docs: DataFrame, model: Model, cut: float | None = None):
@@ -190,7 +204,8 @@ def score_column(docs: DataFrame, model: Model, cut: float | None = None):
 
 
 def _score_series(model: Model, texts, at: int):
-    parts = [model.tails(texts.iloc[i : i + 512].tolist(), Features()) for i in range(0, len(texts), 512)]
+    features = Features()
+    parts = [model.tails(texts.iloc[i : i + 512].tolist(), features) for i in range(0, len(texts), 512)]
     tails = np.concatenate(parts) if parts else np.zeros((0, len(model.thresholds)))
     tail = np.ones(len(tails)) if at == 0 else tails[:, at - 1] if at <= tails.shape[1] else np.zeros(len(tails))
     return pd.DataFrame({"expected": model.expected(tails), "tail": tail})

@@ -86,7 +86,57 @@ def test_quality_with_one_grade_or_none(spark, tables):
 
 
 def test_repeated_words_are_seen():
-    assert quality.Features.buckets("a a a a") != quality.Features.buckets("a b a b")
+    buckets = quality.Features.buckets
+    assert buckets("a a a a".split(), 7).tolist() != buckets("a b a b".split(), 7).tolist()
+
+
+def plain_features(text):
+    """Every feature of a text and its value, one by one."""
+    fold = lambda h: (((h ^ (h >> 15)) * 0x9E3779B1) & 0xFFFFFFFF) >> 16
+    kind = lambda b: 97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 32 if b in b"\t\n\x0b\x0c\r" else b
+    shape = []
+    for b in map(kind, b" " + (text or "").encode() + b" "):
+        shape.append(b)
+    shape = [b for i, b in enumerate(shape) if i < 2 or not b == shape[i - 1] == shape[i - 2]]
+    grams = []
+    for n in (3, 4, 5):
+        for i in range(len(shape) - n + 1):
+            h = 0
+            for b in shape[i : i + n]:
+                h = (h * 0x01000193 + b) & 0xFFFFFFFF
+            grams.append(fold(h))
+    words = (text or "").lower().split()
+    crc = [zlib.crc32(w.encode()) for w in words]
+    tokens = [fold(h) for h in crc] + [fold((a * 0x01000193 + b) & 0xFFFFFFFF) for a, b in zip(crc, crc[1:])]
+    found = [(g, 12 / len(grams)) for g in grams] + [(t, 4 / len(tokens)) for t in tokens]
+    return found + [(b, 0.5) for b in quality.Features.buckets(words, len(text or "")).tolist()]
+
+
+AWKWARD = ["The model was trained well", "zqx wvkjz qqq xxxzzyy jkkq", "", None, " ", "a", "漢字 文本 質量", "BUY!!  NOW\t\n", "word " * 5000, "The model was trained well"]
+
+
+def test_quality_scores_equal_the_plain_ones_in_any_batching():
+    rng = np.random.default_rng(7)
+    model = quality.Model(np.arange(3.0), rng.normal(size=quality.SIZE), np.array([-0.5, 0.7]))
+    whole = model.tails(AWKWARD, quality.Features())
+    for text, got in zip(AWKWARD, whole):
+        at = sum(model.weights[n] * v for n, v in plain_features(text))
+        assert np.allclose(got, 1 / (1 + np.exp(model.thresholds - at)))
+    for order in (range(10), [9, 3, 0, 5, 1, 8, 7, 2, 6, 4]):
+        for k in (1, 2, 7):
+            numbers = list(order)
+            parts = np.concatenate([model.tails([AWKWARD[i] for i in numbers[at : at + k]], quality.Features()) for at in range(0, 10, k)])
+            assert (parts == whole[numbers]).all()
+    assert (whole[0] == whole[9]).all() and (whole[0] != whole[1]).all()
+
+
+def test_quality_reads_words(spark):
+    made = [(i, ("good words in calm order " if i % 2 else "spam pills for cheap sale ") * (2 + i % 5), i % 2) for i in range(200)]
+    assert len({quality.Features.shapes(t[:25]).tobytes() for _, t, _ in made}) <= 2
+    docs = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, q) for i, _, q in made if i < 150], "doc_id long, quality int")
+    found = {r["doc_id"]: r["selected"] for r in quality.quality(docs, ratings).collect()}
+    assert all(found[i] == bool(q) for i, _, q in made)
 
 
 def test_pseudo_likelihood_sums_conditional_log_probabilities(spark, tables):
