@@ -141,40 +141,129 @@ def test_quality_reads_words(spark):
 
 def test_pseudo_likelihood_sums_conditional_log_probabilities(spark, tables):
     docs = tables[0]
-    vocab = lm_score.vocabulary(docs)
-    net = lm_score.trained(docs, vocab)
-    found = {r["doc_id"]: r for r in lm_score.scored(docs, vocab, net).collect()}
+    held = lm_score.figures(lm_score.distinct_words(docs))
+    net = lm_score.trained(docs, held)
+    found = {r["doc_id"]: r for r in lm_score.scored(docs, held, net).collect()}
     assert len(found) == docs.count()
     assert found[900]["n_tokens"] == found[901]["n_tokens"] == 0 and found[900]["mean_log_likelihood"] is None and found[900]["log_likelihood"] == 0
-    tokens = lm_score.Tokens(vocab)
-    text = CALM.format(7919)
-    targets, sides = lm_score.windows([tokens.of(lm_score.words(text))])
-    for t in range(3):  # the network's probabilities over the whole vocabulary add up to one
-        every = np.arange(lm_score.VOCAB)
-        chance = np.exp(net.log_probabilities(every, np.repeat(sides[:, t : t + 1], lm_score.VOCAB, axis=1)).astype(np.float64))
-        assert abs(chance.sum() - 1) < 1e-3
+    assert found[902]["n_tokens"] == 30000
+    tokens = lm_score.Tokens(held, within=True)
+    words = lm_score.words(CALM.format(7919))
+    classes, within = tokens.of(words)
+    line = lm_score.line_of([classes])
+    for t in range(3):  # the network's probabilities over all classes add up to one
+        total = 0.0
+        for every in range(lm_score.VOCAB):
+            other = line.copy()
+            other[lm_score.WINDOW + t] = every
+            total += np.exp(float(net.log_probabilities(other)[t]))
+        assert abs(total - 1) < 1e-3
     first = next(i for i, t, *_ in rows(300) if t == CALM.format(i * 7919 % 1000))
-    alone = lm_score.windows([tokens.of(lm_score.words(rows(300)[first][1]))])
-    assert abs(net.log_probabilities(*alone).sum() - found[first]["log_likelihood"]) < 1e-2
+    n, alone = lm_score.score([rows(300)[first][1], None, ""], net, tokens)
+    assert n.tolist()[1:] == [0, 0] and alone[1:].tolist() == [0, 0]
+    assert abs(alone[0] - found[first]["log_likelihood"]) < 1e-2
+    # the sum over tokens of network and of figures, one by one
+    own, (classes, within) = lm_score.words(rows(300)[first][1]), tokens.of(lm_score.words(rows(300)[first][1]))
+    line = lm_score.line_of([classes])
+    assert abs(net.log_probabilities(line).sum() + sum(held.within([w])[0] for w in own) - alone[0]) < 1e-2
+    assert all((held.within([w])[0] == 0) == (w in held.head) for w in own)
+
+
+def plain_network(net, line, t):
+    """The log-probability of one token, without batches."""
+    at = lm_score.WINDOW + t
+    total = net.start.astype(float).copy()
+    for scale, p in zip(net.scales, lm_score.PLACES):
+        total += scale.astype(float) * net.vectors[line[at + p]]
+    hidden = np.append(np.tanh(total), 1.0)
+    group, inner = divmod(int(line[at]), lm_score.SIDE)
+    out = 0.0
+    for weights, target in ((net.coarse, group), (net.fine[group], inner)):
+        logits = hidden @ weights.astype(float)
+        out += logits[target] - np.log(np.exp(logits).sum())
+    return out
 
 
-def test_training_beats_a_fresh_network_and_repeats(spark, tables):
-    docs = tables[0].filter("doc_id < 300")
-    vocab = lm_score.vocabulary(docs)
-    a, b = (lm_score.trained(docs, vocab) for _ in range(2))
-    assert (a.flat() == b.flat()).all()
-    mean = lambda net: lm_score.scored(docs, vocab, net).agg(F.avg("mean_log_likelihood")).first()[0]
-    assert mean(a) > mean(lm_score.Network.fresh()) + 0.5
-    none = docs.filter("false")
-    assert lm_score.pseudo_likelihood(none).count() == 0
+def test_the_network_equals_the_plain_one_and_its_slopes_are_right():
+    rng = np.random.default_rng(5)
+    net = lm_score.Network.fresh()
+    net.coarse += rng.normal(0, 0.3, net.coarse.shape).astype(np.float32)
+    net.fine += rng.normal(0, 0.3, net.fine.shape).astype(np.float32)
+    line = lm_score.line_of([rng.integers(0, lm_score.VOCAB, 9), rng.integers(0, lm_score.VOCAB, 5)])
+    got = net.log_probabilities(line)
+    places = [t for t in range(len(line) - 2 * lm_score.WINDOW) if line[lm_score.WINDOW + t] != lm_score.VOCAB]
+    assert np.allclose(got, [plain_network(net, line, t) for t in places], atol=1e-4)
+    for part in range(5):  # one step of the sums' square roots is the slope: compare with differences
+        before, sums = lm_score.Network.of(net.flat()), lm_score._empty_sums()
+        lm_score.Network.of(net.flat()).learn(line, sums)
+        slopes = np.sqrt(sums.parts()[part].ravel())
+        for k in np.argsort(-slopes)[:3]:
+            changed = []
+            for step in (1e-2, -1e-2):
+                other = lm_score.Network.of(before.flat())
+                other.parts()[part].ravel()[k] += step
+                changed.append(other.log_probabilities(line).astype(np.float64).mean())
+            assert abs(abs(changed[0] - changed[1]) / 2e-2 - slopes[k]) < 0.05 * slopes[k] + 1e-4
+
+
+def test_spelling_is_a_distribution():
+    tokens = ["banana", "bandana", "an", "é", "漢字"] * 3
+    tables = [np.zeros(257 * size) for size in lm_score.ORDERS]
+    cells, _ = lm_score._cells(tokens)
+    for table, cell in zip(tables, cells):
+        np.add.at(table, cell, 1)
+    model = lm_score.Spelling(tables)
+    together = model.log(tokens)
+    assert np.allclose(together, [model.log([w])[0] for w in tokens])
+    assert model.log(["banana"])[0] > model.log(["nabana"])[0] > model.log(["qzxwvk"])[0]
+    for chance, size in zip(model.chances, lm_score.ORDERS):
+        assert np.allclose(chance.reshape(size, 257).sum(1), 1, atol=1e-3)
+
+
+def test_counts_of_the_corpus_tell_strings_apart(spark):
+    rng = np.random.default_rng(3)
+    made = lambda: "".join(rng.choice(list("abcdefgh"), 7))
+    common = [f"w{k}" for k in range(lm_score.HEAD)]
+    twice, once = [made() for _ in range(40)], [made() for _ in range(40)]
+    texts = [" ".join(common)] * 3 + [" ".join(twice)] * 2 + [" ".join(once)]
+    held = lm_score.figures(lm_score.distinct_words(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).ready()
+    assert set(held.head) == set(common)
+    assert held.within(twice).mean() > held.within(once).mean() + 0.3
+
+
+def language(rng, n):
+    """Documents of two languages, whose words come in runs and whose sentences begin with capitals."""
+    out = []
+    for _ in range(n):
+        low, text = (0, 40) if rng.random() < 0.5 else (40, 80), []
+        while len(text) < 60:
+            sentence = [f"v{int(low[0] + 40 * rng.random() ** 2)}" for _ in range(int(rng.integers(4, 9)))]
+            text += [sentence[0].upper(), *sentence[1:-1], sentence[-1] + "."]
+        out.append(" ".join(text))
+    return out
 
 
-def test_gradients_lower_the_loss():
-    rng = np.random.default_rng(0)
-    net = lm_score.Network.fresh()
-    tokens = rng.integers(0, 40, 2000)
-    targets, sides = lm_score.windows([tokens])
-    before = net.log_probabilities(targets, sides).mean()
-    for _ in range(20):
-        net.learn(targets, sides, lm_score.RATE)
-    assert net.log_probabilities(targets, sides).mean() > before + 0.5
+@pytest.mark.parametrize("tasks", [1, 8, 32])
+def test_the_model_uses_context_however_many_tasks_train_it(spark, tasks):
+    rng = np.random.default_rng(9)
+    train, held_out = language(rng, 600), language(rng, 60)
+    docs = spark.createDataFrame(list(enumerate(train)), "doc_id long, text string").repartition(tasks)
+    held = lm_score.figures(lm_score.distinct_words(docs))
+    net = lm_score.trained(docs, held)
+    tokens = lm_score.Tokens(held, within=True)
+    mean = lambda texts: np.divide(*[x.sum() for x in lm_score.score(texts, net, tokens)[::-1]])
+    counts = {}
+    for w in (w for t in train for w in t.split()):
+        counts[w] = counts.get(w, 0) + 1
+    total = sum(counts.values())
+    unigram = np.mean([np.log(counts.get(w, 0.5) / total) for t in held_out for w in t.split()])
+    shuffled = [" ".join(rng.permutation(t.split())) for t in held_out]
+    assert mean(held_out) > unigram + 0.5 and mean(held_out) > mean(shuffled) + 0.2
+
+
+def test_training_repeats_and_empty_tables(spark, tables):
+    docs = tables[0].filter("doc_id < 300")
+    held = lm_score.figures(lm_score.distinct_words(docs))
+    a, b = (lm_score.trained(docs, held) for _ in range(2))
+    assert (a.flat() == b.flat()).all()
+    assert lm_score.pseudo_likelihood(docs.filter("false")).count() == 0
