@@ -91,35 +91,46 @@ def test_empty_tables_have_no_matches(spark):
 
 
 def brute(rows, asked, k):
-    good = {}
+    good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            good.setdefault(i, []).append([int(np.floor(1024 * float(np.float32(x)))) for x in v])
+            good.append((i, [int(np.floor(1024 * float(x))) for x in v]))
     out = []
-    for q in asked:
-        if q not in good:
-            continue
-        v = min(good[q])
-        scores = [(-sum(a * b for a, b in zip(v, c)), i) for i, cs in good.items() if i != q for c in cs if len(c) == len(v)]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    for at, (q, v) in enumerate(good):
+        if q in asked:
+            scores = [(-sum(a * b for a, b in zip(v, c)), i) for other, (i, c) in enumerate(good) if other != at and len(c) == len(v)]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [40, 100_000])
-def test_top_k_equals_brute_force(spark, monkeypatch, shard):
+@pytest.mark.parametrize("shard, block", [(40, 4), (100_000, 100_000)])
+def test_top_k_equals_brute_force(spark, monkeypatch, shard, block):
     monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(180)]
     rows += [(200 + i, rows[5][1]) for i in range(30)]  # one common vector
     rows += [(300, [1.0, 2.0]), (301, [0.5, 1.0]), (302, None), (303, [1.0, None, 2.0, 3.0]), (304, [float("nan"), 1.0, 1.0, 1.0]), (305, [float("inf"), 0.0, 0.0, 0.0]), (None, rows[3][1]), (7, rows[7][1]), (306, [])]
+    rows += [(40, rows[40][1]), (40, rows[41][1]), (60, rows[60][1]), (60, rows[60][1])]  # repeated queries, and one id with two vectors
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 20 = 0"), k=6).collect()))
     assert got == brute(rows, range(0, 400, 20), 6)
 
 
-def test_scores_beyond_doubles_are_exact():
-    big = np.array([[1 << 40, 1], [1 << 40, 2], [1 << 39, 5]], np.int64)
-    tree = topk.BallTree(np.array([1, 2, 3]), big)
-    (_, ids, scores), = tree.search(np.array([9]), np.array([[1 << 20, 1]], np.int64), np.array([float("-inf")]), 2)
-    assert list(ids) == [2, 1] and list(scores) == [(1 << 60) + 2, (1 << 60) + 1]
+def test_scores_beyond_doubles_are_exact_in_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 50)
+    rng = np.random.default_rng(8)
+    base = float(1 << 18)
+    # scores near 2 ** 58 that differ by less than a double's step there, with ties
+    rows = [(i, [base, float(rng.integers(0, 3)) / 1024, float(rng.integers(0, 9)) / 1024]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(map(tuple, topk.top_k(df, df.filter("vec_id % 100 = 0"), k=10).collect()))
+    want = brute(rows, range(0, 400, 100), 10)
+    assert got == want and min(r[3] for r in want) > 1 << 55
+
+
+def test_candidates_are_never_copied_by_block(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 5)
+    df = spark.range(60).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")
+    plan = topk.top_k(df, df.filter("vec_id % 3 = 0"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan.lower()
