@@ -5,9 +5,9 @@ other; a row without id gets its fingerprint's component; repeated rows share on
 table gives an empty result.  Extra columns are ignored, so their names cannot clash.
 
 Distance <= radius implies that of radius + 1 bit blocks at least one is equal, so fingerprints meet in
-buckets keyed by one block.  Inside a bucket the rows are ordered by population count and compared tile by
-tile with exclusive-or and bit counts; tile pairs whose population counts differ by more than the radius
-are skipped.  Buckets over `TILE` rows are dealt out as pairs of tiles to separate groups, so that no group
+buckets keyed by one block.  Rows ordered by bucket and population count are cut into tiles, and tiles are compared
+with exclusive-or and bit counts; pairs of tiles that share no bucket, or whose population counts differ by more than
+the radius, are skipped.  Buckets over `TILE` rows are dealt out as pairs of tiles to separate groups, so that no group
 grows with the data.  Each group emits a spanning forest of its links, never all pairs.
 """
 
@@ -25,6 +25,10 @@ SEED = 42
 RADIUS = 3
 SHINGLE = 3
 TILE = 1024
+#: Fingerprints with over one HOT-th of all rows are joined by broadcast.
+HOT = 1_000
+#: Rows that go are dropped by a broadcast of their marks up to this many (8 MB); beyond it the join shuffles.
+BROADCAST_MARKS = 1_000_000
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -49,17 +53,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > len(starts)).view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, also: list[str] = []) -> DataFrame:  # noqa: B006
+    """(id, fp, the columns `also`): fp holds the 64 bits as a signed long."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 values = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64)), *part.columns[2:]], ["id", "fp", *also])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    more = "".join(f", {name} {docs.schema[name].dataType.simpleString()}" for name in also)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *also).mapInArrow(run, f"id {kind}, fp long{more}")
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,37 +83,34 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def close_rows(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def close_rows(keys: np.ndarray, fps: np.ndarray, radius: int, tile: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (a, b), a < b, with equal key and at most `radius` differing bits.
 
-    Rows come ordered by key, then population count; rows or tiles whose counts differ beyond the radius are not compared.
+    Rows come ordered by key, then population count, and are cut into tiles; a tile is compared with itself and with
+    those after it as long as they share a key and the population counts there are within the radius.
     """
+    n = len(keys)
     pop = np.bitwise_count(fps).astype(np.int16)
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    ends = np.append(starts[1:], len(keys))
-    lengths = ends - starts
-    end_of = np.repeat(ends, lengths)
-    rows = np.flatnonzero(np.repeat(lengths <= 64, lengths))
-    step = 1
-    while len(rows):
-        rows = rows[rows + step < end_of[rows]]
-        rows = rows[pop[rows + step] - pop[rows] <= radius]
-        hit = np.bitwise_count(fps[rows] ^ fps[rows + step]) <= radius
-        out_a.append(rows[hit])
-        out_b.append(rows[hit] + step)
+    first = np.arange(0, n, tile)
+    last = np.minimum(first + tile, n) - 1
+    place = np.arange(tile)
+    mine, step = np.arange(len(first)), 0
+    while len(mine):
+        for at in range(0, len(mine), 128):
+            i = mine[at : at + 128]
+            rows, others = first[i][:, None] + place, first[i + step][:, None] + place
+            a, b = np.minimum(rows, n - 1), np.minimum(others, n - 1)
+            near = np.bitwise_count(fps[a][:, :, None] ^ fps[b][:, None, :]) <= radius
+            near &= keys[a][:, :, None] == keys[b][:, None, :]
+            near &= (rows[:, :, None] < others[:, None, :]) & (others < n)[:, None, :]
+            pair, x, y = np.nonzero(near)
+            out_a.append(rows[pair, x])
+            out_b.append(others[pair, y])
         step += 1
-    for start, end in zip(starts[lengths > 64], ends[lengths > 64]):
-        for i in range(start, end, tile):
-            i2 = min(i + tile, end)
-            for j in range(i, end, tile):
-                if pop[j] - pop[i2 - 1] > radius:
-                    break
-                near = np.bitwise_count(fps[i:i2, None] ^ fps[None, j : j + tile][:, : end - j]) <= radius
-                a, b = np.nonzero(near)
-                keep = a + i < b + j
-                out_a.append(a[keep] + i)
-                out_b.append(b[keep] + j)
+        mine = mine[mine + step < len(first)]
+        later = first[mine + step]
+        mine = mine[(keys[last[mine]] == keys[later]) & (pop[later] - pop[last[mine]] <= radius)]
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -195,23 +197,52 @@ def components(edges: DataFrame) -> DataFrame:
         state = saved(small.union(low).distinct(), "small-star")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(id_col, fingerprint, component_id) for every row of docs."""
-    prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("id").alias("first_id"))
+def _components_of(prints: DataFrame, radius: int) -> DataFrame:
+    """prints (id, fp, ..) with the component's smallest fingerprint `root` and `component_id`, its smallest id.
+
+    Fingerprints of over a HOT-th of all rows, HOT of them at most, are broadcast, so that no join gathers their rows.
+    """
+    nodes = saved(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp"), radius))
     members = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     named = members.join(nodes, "fp")
     first = named.groupBy("root").agg(F.min("first_id").alias("linked_id"))
-    linked = named.select("fp", "root").join(first, "root").select("fp", "linked_id")
-    of_print = nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return prints.join(of_print, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    linked = named.select("fp", "root").join(first, "root").select("fp", "root", "linked_id")
+    of_print = nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("linked_id", "first_id").alias("component_id"))
+    of_print = saved(of_print, "components")
+    total = of_print.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of_print.filter(F.col("n") > total / HOT).drop("n"))
+    few = prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(of_print.drop("n"), "fp")
+    return prints.join(hot, "fp").union(few)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of docs, that with the smallest id; rows without id cannot be told apart and stay."""
-    groups = near_duplicates(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    known = docs.filter(F.col(id_col).isNotNull()).join(groups, id_col, "left_semi").dropDuplicates([id_col])
-    return known.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(id_col, fingerprint, component_id) for every row of docs."""
+    prints = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    return _components_of(prints, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each component of docs, that with the smallest id and then mark of id and text; rows without id stay.
+
+    Rows are known by the mark, so rows that share an id but not a text are judged apart.  The marks of the rows that go
+    are broadcast while they are few, so that texts don't move.  Of rows that repeat as a whole one stays.
+    """
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    prints = fingerprints(docs.filter(F.col(id_col).isNotNull()).withColumn("_mark", mark), id_col, text_col, shingle, ["_mark"])
+    rows = _components_of(saved(prints, "fingerprints"), radius).select("id", "root", "_mark")
+    rows = saved(rows.groupBy("id", "_mark", "root").agg(F.count("*").alias("n")), "rows")
+    kept = rows.groupBy("root").agg(F.min(F.struct("id", "_mark", "n")).alias("k")).select("k.*")
+    gone = saved(rows.join(kept, ["id", "_mark"], "left_anti").select("_mark"), "gone")
+    if gone.count() <= BROADCAST_MARKS:
+        gone = F.broadcast(gone)
+    left = docs.withColumn("_own", mark).join(gone, F.col("_own") == F.col("_mark"), "left_anti")
+    left = left.filter(F.col(id_col).isNotNull())
+    repeated = saved(kept.filter("n > 1").select("_mark"), "repeated")
+    out = left
+    if n := repeated.count():
+        if n <= BROADCAST_MARKS:
+            repeated = F.broadcast(repeated)
+        again = F.col("_own") == F.col("_mark")
+        out = left.join(repeated, again, "left_anti").union(left.join(repeated, again, "left_semi").dropDuplicates(["_own"]))
+    return out.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -183,3 +183,34 @@ def test_plan_places_every_length_once(histogram):
             rooms.remove(min(fit))
         rooms.append((min(fit) if fit else 64) - x)
     assert len(filled) == len(rooms)
+
+
+@pytest.mark.parametrize("tile", [4, 64, 256])
+def test_tiles_find_every_close_pair(tile):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    fps = base[rng.integers(0, 40, 600)] ^ (np.uint64(1) << rng.integers(0, 64, 600, dtype=np.uint64)) * rng.integers(0, 2, 600, dtype=np.uint64)
+    keys = np.where(rng.random(600) < 0.5, 7, rng.integers(0, 200, 600))
+    order = np.lexsort((fps, np.bitwise_count(fps), keys))
+    keys, fps = keys[order], fps[order]
+    a, b = simhash.close_rows(keys, fps, 3, tile)
+    want = {(i, j) for i in range(600) for j in range(i + 1, 600) if keys[i] == keys[j] and int(fps[i] ^ fps[j]).bit_count() <= 3}
+    assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want)
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_keep_one_judges_rows_not_ids(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "BROADCAST_MARKS", few)
+    same, other = " ".join(f"word{k}" for k in range(60)), " ".join(f"else{k}" for k in range(60))
+    rows = [(1, same), (1, other), (2, same), (3, other), (4, "alone here"), (4, "alone here"), (None, same), (None, same), (5, None), (6, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _mark string")
+    kept = simhash.keep_one(docs.withColumnRenamed("_mark", "fp"))
+    key = lambda r: (r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=key) == sorted([(None, same), (None, same), (1, other), (1, same), (4, "alone here"), (5, None)], key=key)
+
+
+def test_a_fingerprint_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 4)
+    rows = [(i, "the same words over and over again here" if i % 3 else f"words of row {i} alone " * 3) for i in range(90)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(found) == 90 and all(found[i] == 1 for i, _ in rows if i % 3) and all(found[i] <= i for i in found)
