@@ -165,14 +165,20 @@ def plan(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, in
                 n = 0
             else:
                 first, count = open_runs[left].pop()
-                take = min(n, count)
-                runs.append((length, rank, take, first, room - left))
-                rank, n = rank + take, n - take
-                open_runs[left - length].append((first, take))
-                if take < count:
-                    open_runs[left].append((first + take, count - take))
-                if left - length < left and left - length >= length:
-                    left = length
+                each = left // length  # a sequence that takes one is the tightest for the next
+                full, rest = divmod(n, each)
+                if full >= count:
+                    full, rest = count, 0
+                at = first
+                for sequences, depth in ((full, each), (1 if rest else 0, rest)):
+                    if sequences:
+                        for k in range(depth):
+                            runs.append((length, rank, sequences, at, room - left + k * length))
+                            rank, n = rank + sequences, n - sequences
+                        open_runs[left - depth * length].append((at, sequences))
+                        at += sequences
+                if at < first + count:
+                    open_runs[left].append((at, first + count - at))
     return runs
 
 
