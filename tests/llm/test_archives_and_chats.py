@@ -102,7 +102,7 @@ def test_links_order_and_validation(spark):
     assert by[1, "c1"]["valid"] and by[1, "c3"]["valid"] and by[1, "c4"]["valid"]
     assert by[1, "c2"]["errors"] == "a is STRING, not BIGINT"
     assert by[1, "c5"]["errors"] == "unknown x" and by[1, "c6"]["errors"] == "unknown tool"
-    assert by[1, "c7"]["errors"] == by[1, "c8"]["errors"] == "arguments are not a JSON object"
+    assert by[1, "c7"]["errors"] == "arguments are not a JSON object" and by[1, "c8"]["errors"] == "arguments repeat a key"
     assert by[2, "w"]["errors"] == "unknown result gone"
     assert by[None, "c1"]["status"] == "unanswered"
 
@@ -120,7 +120,7 @@ def test_turns_of_plain_chats(spark):
     calls, results = chat_tools.turns_as_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
     rows = chat_tools.link(calls, results, chat_tools.TURN_TOOLS).collect()
     depth = {r["turn"]: r["depth"] for r in rows if r["conv_id"] == 1}
-    assert depth == {0: 0, 2: 1, 4: 2, 6: 2, 8: 3}
+    assert depth == {0: 0, 2: 1, 4: 2, 6: 3, 8: 4}
     assert {r["status"] for r in rows if r["conv_id"] == 1} == {"linked"} and all(r["valid"] for r in rows if r["conv_id"] == 1)
     assert sorted((r["call_id"], r["name"], r["status"]) for r in rows if r["conv_id"] == 3) == [("t0", "set_system", "unanswered"), ("t1", "reply", "linked")]
 
@@ -128,3 +128,60 @@ def test_turns_of_plain_chats(spark):
 def test_no_messages(spark):
     calls, results = chat_tools.turns_as_calls(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert chat_tools.link(calls, results, chat_tools.TURN_TOOLS).count() == 0
+
+
+def test_bad_arguments_stay_in_the_message(spark):
+    calls = spark.createDataFrame([(1, "a", 1, "add", '{"a":1,"a":2}'), (1, "b", 2, "add", '{"a":'), (1, "c", 3, "add", '{"a":1.0,"b":2e0}'), (1, "d", 4, "add", '{"a":1.5,"b":2}')], "conv_id long, call_id string, turn long, name string, arguments string")
+    rows = {r["call_id"]: r for r in chat_tools.link(calls, calls.selectExpr("conv_id", "call_id", "turn", "name as content").filter("false"), SCHEMAS).collect()}
+    assert [rows[c]["errors"] for c in "abc"] == ["arguments repeat a key", "arguments are not JSON", ""]
+    assert rows["d"]["errors"] == "a is DECIMAL, not BIGINT"
+    assert json.loads(rows["a"]["message"])["arguments"] == '{"a":1,"a":2}' and json.loads(rows["b"]["message"])["arguments"] == '{"a":'
+    assert json.loads(rows["c"]["message"])["arguments"] == {"a": 1, "b": 2}
+
+
+def test_nested_schemas(spark):
+    schemas = {"book": {"who": ({"name": ("STRING", True), "age": ("BIGINT", False)}, True), "days": (["BIGINT"], True), "room": (frozenset(["sea", "park"]), False), "price": ("DOUBLE", False)}}
+    good = {"who": {"name": "a", "age": 3}, "days": [1, 2.0], "room": "sea", "price": 1}
+    cases = [
+        (good, ""),
+        (good | {"who": {"age": "x", "more": 1}}, "missing who.name; who.age is STRING, not BIGINT; unknown who.more"),
+        (good | {"who": []}, "who is ARRAY, not OBJECT"),
+        (good | {"days": [1, "x", 2.5]}, "days[] is STRING, not BIGINT; days[] is DECIMAL, not BIGINT"),
+        (good | {"days": 3}, "days is BIGINT, not ARRAY"),
+        (good | {"room": "cellar"}, 'room is "cellar", not one of "park", "sea"'),
+        (good | {"price": "1"}, "price is STRING, not DOUBLE"),
+        (good | {"days": []}, ""),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(c)) for i, (c, _) in enumerate(cases)], "i int, arguments string")
+    found = rows.select("i", F.array_join(chat_tools.argument_errors(F.lit("book"), F.col("arguments"), schemas), "; ").alias("e")).collect()
+    assert sorted(((r["i"]), sorted(r["e"].split("; "))) for r in found) == [(i, sorted(e.split("; "))) for i, (_, e) in enumerate(cases)]
+
+
+def test_references_anywhere(spark):
+    texts = ['{"a":{"b":["$result:x","no"]},"$result:key":1,"c":"$result:y \\"z\\""}', '{"a":"say \\",\\"$result:q\\",\\""}', "[1", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string").select(F.array_sort(chat_tools.references(F.col("a"))).alias("r")).collect()
+    assert [r["r"] for r in rows] == [["x", 'y "z"'], [], [], []]
+
+
+def plain_depths(refs):
+    known, out = set(refs), {}
+    for _ in range(len(refs) + 1):
+        for node, to in refs.items():
+            mine = [t for t in to if t in known]
+            if node not in out and all(t in out for t in mine):
+                out[node] = 1 + max((out[t] for t in mine), default=-1)
+    return {node: out.get(node) for node in refs}
+
+
+def test_depths_of_long_chains_junctions_and_cycles(spark):
+    import random
+
+    rng = random.Random(3)
+    graphs = {1: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}}
+    graphs[2] = {f"n{i}": rng.sample([f"n{j}" for j in range(i)], min(i, rng.choice([0, 1, 1, 1, 2, 3]))) for i in range(60)}
+    graphs[3] = {"a": ["b"], "b": ["a"], "c": ["b"], "d": ["c", "e"], "e": [], "f": ["f"], "g": ["e", "gone"], "h": ["g", "d"], "i": ["gone"], "j": ["g", "e"], "k": ["j"], "l": ["k", "g"]}
+    rows = [(conv, node, refs) for conv, graph in graphs.items() for node, refs in graph.items()]
+    found = chat_tools.depths(spark.createDataFrame(rows, "conv_id long, call_id string, refs array<string>")).collect()
+    assert len(found) == len(rows)
+    got = {(r["conv_id"], r["call_id"]): r["depth"] for r in found}
+    assert got == {(conv, node): depth for conv, graph in graphs.items() for node, depth in plain_depths(graph).items()}
