@@ -2,19 +2,23 @@
 
 Writing: each record is its header, a blank line and its block; the text sink's line separator is the pair of
 line ends that closes a record, so the files are plain WARC/1.1 made by Spark's own commit protocol on any file
-system that Spark can write.  Reading: whole files, parsed by Content-Length, plain or gzip by magic bytes; the
-number of records in a file is bounded at writing.
+system that Spark can write.  Reading: files plain or gzip by magic bytes, decompressed bit by bit and parsed by
+Content-Length; the SHA-256 of each payload read is computed and held against its header.  Pages are written by size
+classes, each with so many records a file that none is larger than FILE_BYTES, or one record.
 
 Transaction assembly: request and metadata records name the response or revisit record they belong to in
 WARC-Concurrent-To.  They are gathered by that identifier and joined to it; a capture is one nested row.
 
 Defined results: null html is an empty payload; null ids are kept and never a revisit's target; repeated rows
 with the smallest id of their payload are all responses; line ends in urls are percent-encoded; requests and
-metadata that name no known record are returned by `unlinked`; an empty table gives an empty archive and no row.
+metadata that name no known record are returned by `unlinked`; a payload that differs from its header's digest is an
+error, as is a cut archive; texts are kept whole at any length; other columns are not read; an empty table gives an
+empty archive and no row.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 
@@ -28,10 +32,14 @@ from pallium.llm.common import saved, scratch_path
 CRLF = "\r\n"
 #: Payloads from this many bytes on are stored once.
 REVISIT_BYTES = 100
-#: Records of one file at most.
-FILE_RECORDS = 3_000
+#: Bytes of one file before compression, about, and the largest payload of each size class; beyond them a file holds one record.
+FILE_BYTES, CLASSES = 192 << 20, (64 << 10, 4 << 20)
+#: Bytes that are decompressed at once.
+STREAM_BYTES = 1 << 20
 #: Payloads with copies that are broadcast at most, 25 MB of them.
 BROADCAST_HEADS = 200_000
+#: Parts of a payload's copies when there are more heads than that.
+SALTS = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -65,8 +73,10 @@ def transactions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     heads = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     heads = saved(heads, "heads")
     if heads.count() <= BROADCAST_HEADS:
-        heads = F.broadcast(heads)
-    rows = rows.join(heads, "digest", "left")
+        rows = rows.join(F.broadcast(heads), "digest", "left")
+    else:  # the many copies of one payload meet its head in SALTS tasks
+        salted = heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left").drop("salt")
     revisit = F.coalesce((F.col("head") != F.col("id")) | (F.col("id").isNull() & F.col("head").isNotNull()), F.lit(False))
     # the number that Spark gives a row of this job tells apart repeated rows
     key = F.concat_ws(":", F.lit("urn:capture"), F.coalesce(F.col("id").cast("string"), F.lit("none")), F.monotonically_increasing_id().cast("string"))
@@ -106,57 +116,97 @@ def transactions(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return rows.select(F.explode(F.array(main, request, metadata)).alias("value"))
 
 
-def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records (`value`: header, blank line, block) as WARC files."""
-    end = CRLF * 2
-    records.select("value").write.option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def write(records: DataFrame, path: str, compression: str = "gzip", largest: int = CLASSES[0]) -> None:
+    """Write records (`value`: header, blank line, block) as WARC files; records hold `largest` bytes at most, or one is a file."""
+    end, most = CRLF * 2, FILE_BYTES // largest if largest <= CLASSES[-1] else 1
+    records.select("value").write.mode("append").option("lineSep", end).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
 _FIELD = re.compile(rb"\r\n([A-Za-z-]+):[ \t]*([^\r\n]*)")
 
 
+class Stream:
+    """An archive's bytes in order; gzip members are decompressed STREAM_BYTES at a time."""
+
+    def __init__(self, data: bytes):
+        self.data, self.zipped = memoryview(data), data[:2] == b"\x1f\x8b"
+        self.member, self.held, self.at = None, bytearray(), 0
+
+    def more(self) -> bool:
+        """Hold more bytes; false at the end."""
+        if not self.zipped:
+            self.held += self.data[:STREAM_BYTES]
+            ended, self.data = not len(self.data), self.data[STREAM_BYTES:]
+            return not ended
+        while len(self.data) or (self.member and not self.member.eof):
+            if self.member is None or self.member.eof:
+                self.member = zlib.decompressobj(31)
+            found = self.member.decompress(self.data, STREAM_BYTES)
+            if self.member.eof:
+                self.data = memoryview(self.member.unused_data)
+            elif found or len(self.member.unconsumed_tail) < len(self.data):
+                self.data = memoryview(self.member.unconsumed_tail)
+            else:
+                raise ValueError("an archive ends inside a compressed member")
+            if found:
+                self.held += found
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """The bytes before the next mark, which is passed over; null at the end."""
+        seen = self.at
+        while (stop := self.held.find(mark, seen)) < 0:
+            seen = max(self.at, len(self.held) - len(mark) + 1)
+            if not self.more():
+                return None
+        out = bytes(self.held[self.at : stop])
+        self.at = stop + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        while len(self.held) - self.at < n:
+            if not self.more():
+                return None
+        out = bytes(self.held[self.at : self.at + n])
+        self.at += n
+        if self.at > STREAM_BYTES:
+            del self.held[: self.at]
+            self.at = 0
+        return out
+
+
 def parse(data: bytes):
     """The records of one archive as RECORD tuples."""
-    if data[:2] == b"\x1f\x8b":
-        data = _gunzip(data)
-    view, at = memoryview(data), 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0:
+    source = Stream(data)
+    while source.until(b"WARC/") is not None:
+        head = source.until(b"\r\n\r\n")
+        if head is None:
             raise ValueError("an archive ends in a record's header")
-        fields = {k.lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(data[at:stop])}
-        start = stop + 4
-        end = start + int(fields[b"content-length"])
-        if end > len(data):
+        fields = {k.lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(head)}
+        block = source.take(int(fields[b"content-length"]))
+        if block is None:
             raise ValueError("an archive ends in a record's block")
-        block = bytes(view[start:end])
-        digest, size = fields.get(b"warc-payload-digest"), None
+        name, _, digest = fields.get(b"warc-payload-digest", "").rpartition(":")
+        size = None
         if fields.get(b"content-type", "").startswith("application/http"):
-            head, _, body = block.partition(b"\r\n\r\n")
+            before, _, body = block.partition(b"\r\n\r\n")
             size = len(body)
             if fields[b"warc-type"] == "revisit":
-                found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)
+                found = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", before)
                 size = int(found[1]) if found else None
+            elif name.lower() == "sha256" and hashlib.sha256(body).hexdigest() != digest.lower():
+                raise ValueError(f"the payload of {fields.get(b'warc-record-id')} differs from its digest")
         yield (
             fields.get(b"warc-record-id"),
             fields.get(b"warc-type"),
             fields.get(b"warc-target-uri"),
             fields.get(b"warc-concurrent-to"),
             fields.get(b"warc-refers-to"),
-            digest.rpartition(":")[2] if digest else None,
+            digest or None,
             size,
             block,
         )
-        at = end
-
-
-def _gunzip(data: bytes) -> bytes:
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -166,12 +216,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         schema = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}[f.dataType.simpleString()]) for f in RECORD])
         for batch in batches:
             for data in batch.column(0):
-                rows = []
+                rows, size = [], 0
                 for record in parse(data.as_py()):
                     rows.append(record)
-                    if len(rows) == 1000:
+                    size += len(record[-1])
+                    if len(rows) == 1000 or size > STREAM_BYTES * 16:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -201,10 +252,21 @@ def unlinked(records: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """pages written as archives in the shared folder; their records read back."""
+    """pages written as archives in the shared folder; their records read back.
+
+    Each size class that occurs is written by itself; the heads of repeated payloads are found within a class, for
+    equal payloads are of one size.
+    """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write(transactions(pages), path)
+    bytes_of = F.coalesce(F.octet_length("html"), F.lit(0))
+    largest = pages.agg(F.max(bytes_of)).first()[0] or 0
+    low = -1
+    for high in (*CLASSES, 1 << 62):
+        write(transactions(pages if largest <= CLASSES[0] else pages.filter((bytes_of > low) & (bytes_of <= high))), path, largest=high)
+        if largest <= high:
+            break
+        low = high
     return read(spark, path)
 
 

@@ -64,6 +64,30 @@ def test_archives_and_empty_tables(spark, compression, monkeypatch):
     assert warc.page_captures(pages.filter("page_id > 1")).count() == 0
 
 
+def test_archives_are_checked_and_read_bit_by_bit(monkeypatch):
+    body = b"<p>payload</p>"
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + body
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nWARC-Payload-Digest: sha256:{}\r\nContent-Type: application/http\r\nContent-Length: {}\r\n\r\n"
+    record = head.format(hashlib.sha256(body).hexdigest(), len(block)).encode() + block + b"\r\n\r\n"
+    whole = list(warc.parse(record * 3))
+    for size in (1, 7, 50):
+        monkeypatch.setattr(warc, "STREAM_BYTES", size)
+        assert list(warc.parse(record * 3)) == whole == list(warc.parse(gzip.compress(record * 2) + gzip.compress(record)))
+    for bad in (record.replace(b"payload</p>", b"pay1oad</p>"), gzip.compress(record)[:-12]):
+        with pytest.raises(ValueError):
+            list(warc.parse(bad))
+
+
+def test_size_classes_bound_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (200, 1000))
+    monkeypatch.setattr(warc, "FILE_BYTES", 1000)
+    rows = [(i, "u", "x" * n) for i, n in enumerate([10] * 12 + [500] * 6 + [5000] * 3 + [0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.page_captures(pages).collect()}
+    first = {500: 12, 5000: 18}
+    assert found == {i: (len(h), "revisit" if first.get(len(h), i) != i else "response", first[len(h)] if first.get(len(h), i) != i else None) for i, _, h in rows}
+
+
 SCHEMAS = {"add": {"a": ("BIGINT", True), "b": ("BIGINT", True), "note": ("STRING", False)}, "stop": {}}
 CALLS = [
     (1, "c1", 1, "add", '{"b": 2, "a": 1}'),
