@@ -57,6 +57,18 @@ def _drop_scratch() -> None:
             return
 
 
+class Numbers(dict):
+    """Numbers of words in the order in which they are first asked for; `new` lists those since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
 def bounded_sample(df: DataFrame, key: str, n: int, total: int) -> DataFrame:
     """The n rows of df with the smallest hash of `key`, of `total` rows.
 

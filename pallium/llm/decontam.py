@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import saved, slices
+from pallium.llm.common import Numbers, saved, slices
 
 WALKS = 11
 SIMILARITY = 0.8
@@ -60,18 +60,22 @@ BYTES_A_PASS = 1 << 25
 #: Documents found that are dropped by a broadcast of their marks (8 MB); beyond them the join shuffles.
 BROADCAST_MARKS = 1_000_000
 #: Distinct words whose hashes a task remembers; beyond them the memo starts anew.
-MEMO = 300_000
+MEMO = 100_000
 #: Blocks of letters that are written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
 _SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
 _MIXED = re.compile(rf"[{_SOLID}]|[^\W{_SOLID}]+")
 _HAS_SOLID = re.compile(f"[{_SOLID}]")
+#: ASCII signs that no word holds, as blanks.
+_BLANKS = {c: " " for c in range(128) if not _WORD.match(chr(c))}
 _TABLE_BITS = 18
 
 
 def words(text: str | None) -> list[str]:
     low = (text or "").lower()
-    return (_WORD if low.isascii() or not _HAS_SOLID.search(low) else _MIXED).findall(low)
+    if low.isascii():
+        return low.translate(_BLANKS).split()
+    return (_MIXED if _HAS_SOLID.search(low) else _WORD).findall(low)
 
 
 def spelled(tokens: list[str]) -> tuple[str, np.ndarray]:
@@ -115,22 +119,22 @@ class Hashes:
     """
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.rows = np.zeros((len(PARTS), 1 << 12), np.uint64)
 
     def of(self, tokens: list[str]) -> np.ndarray:
-        new = set(tokens).difference(self.number)
-        if len(self.number) + len(new) > MEMO:
-            self.number, new = {}, set(tokens)
-        start, end = len(self.number), len(self.number) + len(new)
+        if len(self.number) > MEMO:
+            self.number = Numbers()
+        start, self.number.new = len(self.number), []
+        each = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new, end = self.number.new, len(self.number)
         if end > self.rows.shape[1]:
             grown = np.zeros((len(PARTS), 2 * end), np.uint64)
             grown[:, :start] = self.rows[:, :start]
             self.rows = grown
         for row, part in zip(self.rows, PARTS):
             row[start:end] = np.fromiter(map(hash, new if part == slice(None) else [w[part] for w in new]), np.int64, len(new)).view(np.uint64)
-        self.number.update(zip(new, range(start, end)))
-        return self.rows.take(np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens)), axis=1)
+        return self.rows.take(each, axis=1)
 
 
 def hashes_of(tokens: list[str]) -> np.ndarray:

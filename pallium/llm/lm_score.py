@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import saved, slices
+from pallium.llm.common import Numbers, saved, slices
 
 WINDOW = 3
 SIDE = 24
@@ -167,17 +167,18 @@ class Figures:
         found = self.head.get(word)
         return self.endings.get(ending(word), VOCAB - 1) if found is None else found
 
-    def within(self, tokens: list[str]) -> np.ndarray:
+    def within(self, tokens: list[str], classes: np.ndarray | None = None) -> np.ndarray:
         """log P(string | class) of strings; 0 for those that are a class of their own."""
         out = np.zeros(len(tokens))
+        if classes is None:
+            classes = np.array([self.class_of(w) for w in tokens], np.int64)
         rare = [k for k, w in enumerate(tokens) if w not in self.head]
         for at in range(0, len(rare), 1 << 15):
             rows = rare[at : at + (1 << 15)]
             mine = [tokens[k] for k in rows]
             spelt = self.spelling.log(mine)
             share = -np.logaddexp(0, -BITS * np.log(2) - spelt)
-            of = np.array([self.endings.get(ending(w), VOCAB - 1) for w in mine])
-            out[rows] = np.minimum(0, self.chance[self.counts[[bucket(w) for w in mine]]] + share - self.of_class[of])
+            out[rows] = np.minimum(0, self.chance[self.counts[[bucket(w) for w in mine]]] + share - self.of_class[classes[rows]])
         return out
 
 
@@ -252,24 +253,28 @@ class Tokens:
 
     def __init__(self, held: Figures, within: bool = False):
         self.held, self.within = held.ready() if within else held, within
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.classes, self.logs = np.zeros(1 << 12, np.int32), np.zeros(1 << 12)
 
     def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
-        new = set(tokens).difference(self.number)
-        if len(self.number) + len(new) > _MEMO:
-            self.number, new = {}, set(tokens)
-        new, start = list(new), len(self.number)
-        end = start + len(new)
+        if len(self.number) > _MEMO:
+            self.number = Numbers()
+        start, self.number.new = len(self.number), []
+        rows = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        new, end = self.number.new, len(self.number)
         if end > len(self.classes):
             self.classes, self.logs = np.resize(self.classes, 2 * end), np.resize(self.logs, 2 * end)
         self.classes[start:end] = [self.held.class_of(w) for w in new]
         if self.within:
-            self.logs[start:end] = self.held.within(new)
-        self.number.update(zip(new, range(start, end)))
-        rows = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+            self.logs[start:end] = self.held.within(new, self.classes[start:end])
         return self.classes[rows], self.logs[rows] if self.within else None
 
+    def of_texts(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray | None]:
+        """The classes of each text, and the logs of all one after another."""
+        lists = [words(t) for t in texts]
+        classes, logs = self.of([w for tokens in lists for w in tokens])
+        return np.split(classes, np.cumsum([len(tokens) for tokens in lists])[:-1]), logs
+
 
 # The network ------------------------------------------------------------------------------------------------------
 
@@ -397,7 +402,7 @@ def train_on(net: Network, sums: Network, tokens: Tokens, batches, size: int) ->
     seen = 0
     for batch in batches:
         for part in slices(batch, 128):
-            documents = [tokens.of(words(t))[0] for t in part.column(0).to_pylist()]
+            documents, _ = tokens.of_texts(part.column(0).to_pylist())
             seen += sum(map(len, documents))
             for piece in pieces(line_of(documents), size):
                 net.learn(piece, sums)
@@ -452,10 +457,10 @@ def trained(docs: DataFrame, held: Figures, id_col: str = "doc_id", text_col: st
 
 def score(texts: list[str | None], net: Network, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each text and the sum of their conditional log-probabilities."""
-    documents, within = zip(*(tokens.of(words(t)) for t in texts))
+    documents, within = tokens.of_texts(texts)
     n = np.array([len(d) for d in documents])
-    logs = [net.log_probabilities(piece) for piece in pieces(line_of(list(documents)), BATCH)] or [np.zeros(0)]
-    both = np.concatenate(logs).astype(np.float64) + np.concatenate(within)
+    logs = [net.log_probabilities(piece) for piece in pieces(line_of(documents), BATCH)] or [np.zeros(0)]
+    both = np.concatenate(logs).astype(np.float64) + within
     sums = np.concatenate(([0.0], np.cumsum(both)))
     ends = np.concatenate(([0], np.cumsum(n)))
     return n, np.diff(sums[ends])
