@@ -25,7 +25,7 @@ from pallium.llm.common import saved, slices
 ROOM = 2048
 CLOSING_ID = 0
 #: Distinct strings that a worker remembers; beyond them the memo starts anew.
-MEMO = 600_000
+MEMO = 300_000
 #: Rows of a part of a length, within which ranks are counted by ordering.
 PART = 10_000
 #: Fixed value: the pattern that splits text before the merges of such vocabularies.

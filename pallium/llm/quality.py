@@ -36,7 +36,7 @@ MAX_GRADES = 32
 #: Weights of the shares of shape n-grams and of words, and the value of a bucket.
 SHAPES, WORDS, BUCKET = 12.0, 4.0, 0.5
 #: Distinct words whose hashes a worker remembers; beyond them the memo starts anew.
-MEMO = 300_000
+MEMO = 100_000
 #: Byte classes: small letters and all beyond ASCII, capitals, digits, blanks; other signs stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[[*range(97, 123), *range(128, 256)]] = 97
