@@ -12,6 +12,8 @@ from pallium.functions.text import compact
 
 #: Shorter values are ignored; shorter compact forms are not compared.
 LEAST_EXACT, LEAST_COMPACT = 4, 8
+#: Characters that no text may hold by the Unicode standard: what stands for an entry until all values are replaced.
+_OPEN, _DIGITS, _CLOSE = "\ufdd0", "".join(map(chr, range(0xFDD1, 0xFDDB))), "\ufddb"
 
 
 def is_digits(text: Column) -> Column:
@@ -42,7 +44,7 @@ def leaks(texts: DataFrame, vault: DataFrame, scope: str, text: str = "text") ->
 def _loose_pattern(value: Column) -> Column:
     """A regex for the value's compact characters with any separators between them."""
     small = compact(value)
-    between = F.when(is_digits(small), F.lit(r"[\s()+.-]*")).otherwise(F.lit("[^a-z0-9ऀ-ॿ]*"))
+    between = F.when(is_digits(small), F.lit(r"[\s()+.-]*")).otherwise(F.lit(f"[^a-z0-9ऀ-ॿ{_OPEN}-{_CLOSE}]*"))
     guard = F.when(is_digits(small), F.lit("[0-9]")).otherwise(F.lit("[a-z0-9ऀ-ॿ]"))
     return F.concat(F.lit("(?i)(?<!"), guard, F.lit(")"), F.array_join(F.split(small, ""), "\u0000"), F.lit("(?!"), guard, F.lit(")")), between
 
@@ -50,24 +52,29 @@ def _loose_pattern(value: Column) -> Column:
 def redact_against(text: Column, entries: Column) -> Column:
     """text with every vault value replaced by its placeholder, exact first, then through separators.
 
-    entries: array<struct<placeholder, value>>; longer compact values go first.
+    entries: array<struct<placeholder, value>>; longer compact values go first.  Placeholders, those already in the text
+    and those put in, are marks until the end, so that no later value is found inside one.
     """
 
     def key(e):
         return F.struct(-F.length(compact(e["value"])), -F.length(e["value"]), e["placeholder"])
 
     ordered = F.array_sort(entries, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+    mark = lambda i: F.concat(F.lit(_OPEN), F.translate(i.cast("string"), "0123456789", _DIGITS), F.lit(_CLOSE))
+    marked = F.transform(ordered, lambda e, i: F.struct(e["placeholder"].alias("placeholder"), e["value"].alias("value"), mark(i).alias("mark")))
 
     def step(t, e):
-        value, to = e["value"], F.replace(e["placeholder"], F.lit("$"), F.lit("\\$"))
+        value, to = e["value"], e["mark"]
         exact = F.when(
             is_digits(value), F.regexp_replace(t, F.concat(F.lit("(?<![0-9])"), escaped(value), F.lit("(?![0-9])")), to)
-        ).otherwise(F.replace(t, value, e["placeholder"]))
+        ).otherwise(F.replace(t, value, to))
         joined, between = _loose_pattern(value)
         loose = F.regexp_replace(exact, F.replace(joined, F.lit("\u0000"), between), to)
         return F.when(F.length(value) < LEAST_EXACT, t).otherwise(F.when(F.length(compact(value)) >= LEAST_COMPACT, loose).otherwise(exact))
 
-    return F.when(entries.isNull(), text).otherwise(F.aggregate(ordered, text, step))
+    shown = F.aggregate(marked, text, lambda t, e: F.replace(t, e["placeholder"], e["mark"]))
+    hidden = F.aggregate(marked, shown, step)
+    return F.when(entries.isNull(), text).otherwise(F.aggregate(marked, hidden, lambda t, e: F.replace(t, e["mark"], e["placeholder"])))
 
 
 def outbound(texts: DataFrame, vault: DataFrame, scope: str, text: str = "text") -> DataFrame:

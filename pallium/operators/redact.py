@@ -134,13 +134,55 @@ def dereference(requests: DataFrame, vault: DataFrame, scope: str) -> DataFrame:
     return requests.join(vault.select(scope, "placeholder", "value"), [scope, "placeholder"], "left").withColumn("status", status)
 
 
+def _tokens(text):
+    """The distinct placeholders of a text, as it stands."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("<[A-Z0-9_]+_[0-9]+>"), F.lit(0)))
+
+
 def expand(text, vault, profile=None):
-    """text with the placeholders of a map column replaced by their values; on a clash the profile's value counts."""
-    entries = F.map_entries(vault)
-    if profile is not None:
-        own = F.filter(entries, lambda e: ~F.map_contains_key(profile, e["key"]))
-        entries = F.concat(own, F.map_entries(profile))
-    return F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    """text with the placeholders of a map column replaced by their values; on a clash the profile's value counts.
+
+    Only the placeholders of the text itself are replaced: what a value holds is put in as it is.
+    """
+    found = vault if profile is None else F.map_concat(F.map_filter(vault, lambda k, _: ~F.map_contains_key(profile, k)), profile)
+    return _put_in(text, found)
+
+
+def _put_in(text, found):
+    """The text cut behind each `>`; the placeholder that ends a part gives way to its value."""
+    token = lambda part: F.regexp_extract(part, "<[A-Z0-9_]+_[0-9]+>$", 0)
+
+    def put(part):
+        name = token(part)
+        value = F.when(name != "", F.element_at(found, name))
+        return F.when(value.isNull(), part).otherwise(F.concat(F.substring(part, F.lit(1), F.length(part) - F.length(name)), value))
+
+    return F.array_join(F.transform(F.split(text, "(?<=>)"), put), "")
+
+
+def expand_checked(text, vault, profile, profile_tokens):
+    """struct<ok, skip, error, text>: `expand` with its refusals, in this order.
+
+    A one-way placeholder and one that neither vault nor profile may know are refused; one of the profile's (the array
+    profile_tokens) that has no value there skips the step; a text that already holds a value of either is refused.
+    """
+    tokens = _tokens(text)
+    hidden = [catalog.TOKENS.get(c, c.upper()) for c in catalog.ONE_WAY]
+    kind = lambda t: F.regexp_extract(t, "^<([A-Z0-9_]+)_[0-9]+>$", 1)
+    one_way = F.filter(tokens, lambda t: kind(t).isin(*hidden))
+    of_profile = lambda t: F.array_contains(profile_tokens, t)
+    unknown = F.filter(tokens, lambda t: ~kind(t).isin(*hidden) & ~of_profile(t) & ~F.map_contains_key(vault, t))
+    missing = F.filter(tokens, lambda t: ~kind(t).isin(*hidden) & of_profile(t) & ~F.map_contains_key(profile, t))
+    holds = lambda entries: F.exists(F.map_values(entries), lambda v: (F.length(v) >= 4) & F.contains(text, v))
+    listed = lambda ts: F.array_join(ts, ", ")
+    error = (
+        F.when(F.size(one_way) > 0, F.concat(F.lit("credential placeholder: "), listed(one_way)))
+        .when(F.size(unknown) > 0, F.concat(F.lit("unknown placeholder: "), listed(unknown)))
+        .when(F.size(missing) > 0, F.concat(F.lit("no value in the profile: "), listed(missing)))
+        .when(holds(vault) | holds(profile), "the text already holds a vault value")
+    )
+    skip = (F.size(one_way) == 0) & (F.size(unknown) == 0) & (F.size(missing) > 0)
+    return F.struct((error.isNull() | skip).alias("ok"), skip.alias("skip"), error.alias("error"), F.when(error.isNull(), expand(text, vault, profile)).alias("text"))
 
 
 def texts_for_model(elements: DataFrame, scope: str, pos: str = "pos") -> DataFrame:

@@ -45,7 +45,7 @@ _LUHN = """(list_sum(list_transform(range(1, length(d) + 1), lambda i:
          WHEN CAST(d[i] AS INT) > 4 THEN 2 * CAST(d[i] AS INT) - 9 ELSE 2 * CAST(d[i] AS INT) END)) % 10 = 0)"""
 
 
-def _matches(pattern: str, name: str, scan: str = f"substring({_NORM}, 1, 4000)", source: str = "documents") -> str:
+def _matches(pattern: str, name: str, scan: str = _NORM, source: str = "documents") -> str:
     """CTEs ending in `name` (doc_id, lang, source, start, length, raw): the pattern's matches with their places."""
     lens = lambda x: f"coalesce(list_sum(list_transform({x}, lambda s: length(s))), 0)"
     return f"""
@@ -55,7 +55,7 @@ def _matches(pattern: str, name: str, scan: str = f"substring({_NORM}, 1, 4000)"
         {name} AS (SELECT doc_id, lang, source, CAST({lens('g[1:i]')} + {lens('m[1:i-1]')} AS INTEGER) AS start, CAST(length(m[i]) AS INTEGER) AS length, m[i] AS raw FROM {name}_i)"""
 
 
-def _hits(scan: str = f"substring({_NORM}, 1, 4000)") -> str:
+def _hits(scan: str = _NORM) -> str:
     """CTEs ending in `hits`: e-mail and card hits; in these texts no other identifiers occur, and these never overlap."""
     return f"""{_matches(_EMAIL, 'em', scan)}, {_matches(_CARD, 'ca', scan)},
         cd AS (SELECT *, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM ca),
@@ -104,25 +104,25 @@ def page_identity(spark, sf_dir):
 def card_candidates(spark, sf_dir):
     matcher = next(m for m in MATCHERS if m.category == "payment_card")
     loose = type(matcher)(matcher.category, matcher.confidence, matcher.pattern, matcher.normalise, lambda v: F.lit(True))
-    hits = F.explode(spans.matches(text.scan_window(F.col("text")), loose, 0)).alias("h")
+    hits = F.explode(spans.matches(text.scan_window(F.col("text"), None), loose, 0)).alias("h")
     return table(spark, sf_dir, "documents").select("doc_id", hits).select("doc_id", "h.start", "h.length", "h.raw")
 
 
 @query(f"WITH {_hits()} SELECT doc_id, start, length, raw FROM hits WHERE category = 'payment_card'")
 def card_hits(spark, sf_dir):
-    return spans.matcher_hits(table(spark, sf_dir, "documents"), "doc_id", "payment_card")
+    return spans.matcher_hits(table(spark, sf_dir, "documents"), "doc_id", "payment_card", limit=None)
 
 
 @query(f"WITH {_hits()} SELECT d.doc_id, count(h.start) AS n_cards FROM documents d LEFT JOIN hits h ON d.doc_id = h.doc_id AND category = 'payment_card' GROUP BY d.doc_id")
 def cards_by_document(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = spans.find_values(F.col("text"), {c.id: c.id == "payment_card" for c in catalog.CATEGORIES}, scanned=True)
-    return docs.select("doc_id", text.scan_window(F.col("text")).alias("text")).select("doc_id", F.size(found).cast("long").alias("n_cards"))
+    return docs.select("doc_id", text.scan_window(F.col("text"), None).alias("text")).select("doc_id", F.size(found).cast("long").alias("n_cards"))
 
 
 @query(f"WITH {_hits()} SELECT doc_id, start, length, raw FROM hits WHERE category = 'email'")
 def email_hits(spark, sf_dir):
-    return spans.matcher_hits(table(spark, sf_dir, "documents"), "doc_id", "email")
+    return spans.matcher_hits(table(spark, sf_dir, "documents"), "doc_id", "email", limit=None)
 
 
 @query(f"WITH {_hits()} SELECT split_part(raw, '@', 2) AS domain, count(*) AS n FROM hits WHERE category = 'email' GROUP BY 1 ORDER BY n DESC, domain LIMIT 10")
@@ -141,7 +141,7 @@ def luhn_stats(spark, sf_dir):
 
 @query(f"WITH {_hits()} SELECT doc_id, category, confidence, start, length, raw FROM hits")
 def pii_spans_resolved(spark, sf_dir):
-    return spans.spans(table(spark, sf_dir, "documents"), "doc_id")
+    return spans.spans(table(spark, sf_dir, "documents"), "doc_id", limit=None)
 
 
 @query(f"WITH {_hits(_NORM)} SELECT doc_id, category, confidence, start, length, raw FROM hits")
@@ -151,7 +151,7 @@ def pii_spans_whole_text(spark, sf_dir):
 
 def _span_rows(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    docs = docs.withColumn("text", text.scan_window(F.col("text")))
+    docs = docs.withColumn("text", text.scan_window(F.col("text"), None))
     return docs.select("doc_id", "lang", "source", F.explode(spans.find_values(F.col("text"), scanned=True)).alias("h")).select("doc_id", "lang", "source", "h.*")
 
 
@@ -178,7 +178,7 @@ def pii_category_rollup(spark, sf_dir):
 @query(f"WITH {_hits()} SELECT doc_id, category, start, length FROM hits WHERE category <> 'email'")
 def policy_disabled_category(spark, sf_dir):
     policy = {c.id: c.id not in ("email", "upi") for c in catalog.CATEGORIES}  # without e-mail, its first half would pass for UPI
-    return spans.spans(table(spark, sf_dir, "documents"), "doc_id", policy=policy).select("doc_id", "category", "start", "length")
+    return spans.spans(table(spark, sf_dir, "documents"), "doc_id", policy=policy, limit=None).select("doc_id", "category", "start", "length")
 
 
 _VALUES = (

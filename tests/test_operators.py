@@ -251,3 +251,30 @@ def test_registry_imports_without_optional_parts():
 
     names = __spark_entry__.queries()
     assert len(names) >= 55 and set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_placeholders_survive_later_values(spark):
+    from pyspark.sql import functions as F
+
+    from pallium.operators import leaks, redact
+
+    vault = [("<EMAIL_1>", "a@b.example"), ("<USERNAME_1>", "EMAIL"), ("<PHONE_1>", "98765 43210")]
+    rows = spark.createDataFrame([("mail a@b.example as EMAIL, <EMAIL_1> or 987-654-3210, $1", vault)], "t string, v array<struct<placeholder:string,value:string>>")
+    assert rows.select(leaks.redact_against(F.col("t"), F.col("v"))).first()[0] == "mail <EMAIL_1> as <USERNAME_1>, <EMAIL_1> or 987-654-3210, $1".replace("987-654-3210", "<PHONE_1>")
+
+
+def test_expansion_reads_the_text_only_once_and_refuses(spark):
+    from pyspark.sql import functions as F
+
+    from pallium.operators import redact
+
+    rows = spark.createDataFrame(
+        [(1, "to <A_1> > end"), (2, "use <PASSWORD_1>"), (3, "<C_1>"), (4, "<HOME_1>"), (5, "see secret value"), (6, "plain > text")], "i int, t string"
+    )
+    vault, profile = (F.create_map(*map(F.lit, x)) for x in (["<A_1>", "<B_1>", "<B_1>", "secret value"], ["<WORK_1>", "desk"]))
+    assert rows.filter("i = 1").select(redact.expand(F.lit("<A_1><B_1> > <Z_9>"), vault)).first()[0] == "<B_1>secret value > <Z_9>"
+    found = rows.select("i", redact.expand_checked(F.col("t"), vault, profile, F.array(F.lit("<HOME_1>"), F.lit("<WORK_1>"))).alias("e")).collect()
+    got = {r["i"]: (r["e"]["ok"], r["e"]["skip"], r["e"]["text"]) for r in found}
+    assert got == {1: (True, False, "to <B_1> > end"), 2: (False, False, None), 3: (False, False, None), 4: (True, True, None), 5: (False, False, None), 6: (True, False, "plain > text")}
+    errors = {r["i"]: r["e"]["error"] for r in found}
+    assert errors[2].startswith("credential") and errors[3].startswith("unknown") and errors[4].startswith("no value") and "already" in errors[5]
