@@ -184,6 +184,7 @@ class Index:
         self.ids = [i for i, _ in items]
         self.words = [words(t) for _, t in items]
         self.texts = [spelled(w)[0] for w in self.words]
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.hashes = Hashes()
         self.short: dict[int, dict[tuple, list[int]]] = {}
         keys: dict[tuple, list] = {}
@@ -210,10 +211,9 @@ class Index:
             seen[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
             self.tables.append((family, walk, key[order], item[order], start[order], seen))
 
-    @cache
     def slack(self, similarity: float) -> np.ndarray:
         """Words by which a passage may be longer or shorter than each item, and one more."""
-        return np.ceil((1 - similarity) * np.array([len(w) for w in self.words])).astype(np.int64) + 1
+        return np.ceil((1 - similarity) * self.lengths).astype(np.int64) + 1
 
     def candidates(self, hashes: np.ndarray):
         """(position, item, start in the item) of every key that a window meets."""
