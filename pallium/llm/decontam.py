@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pallium.llm.common import Numbers, saved, slices
+from pallium.llm.common import saved, slices
 
 WALKS = 11
 SIMILARITY = 0.8
@@ -47,8 +47,9 @@ class Family(NamedTuple):
 
 FAMILIES = (Family(10, 5, 4, 3), Family(6, 4, 3, 2), Family(MIN_WORDS, 3, 2, 2))
 STEPS = max(f.steps for f in FAMILIES)
-#: What a walk may read of a word: the whole, its head, its tail. WHOLE walks read whole words, the others heads or tails.
-PARTS = (slice(None), slice(3), slice(-3, None))
+#: What a walk may read of a word: the whole, or PART letters of its head or tail. WHOLE walks read whole words, the others heads or tails.
+PARTS = ("whole", "head", "tail")
+PART = 3
 WHOLE = 3
 #: Letters of a piece of an item, one machine word of bits, and the alignments that are bounded together.
 PIECE = 63
@@ -59,8 +60,8 @@ ITEMS_A_PASS = 20_000
 BYTES_A_PASS = 1 << 25
 #: Documents found that are dropped by a broadcast of their marks (8 MB); beyond them the join shuffles.
 BROADCAST_MARKS = 1_000_000
-#: Distinct words whose hashes a task remembers; beyond them the memo starts anew.
-MEMO = 100_000
+#: Odd multipliers of the words' hashes, drawn once.
+_BASE, *_MIX = np.random.default_rng(SEED + 1).integers(1, 1 << 63, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Blocks of letters that are written without blanks (Thai to Tibetan, Myanmar, Khmer, kana, Han).
 _SOLID = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _WORD = re.compile(r"\w+")
@@ -71,11 +72,16 @@ _BLANKS = {c: " " for c in range(128) if not _WORD.match(chr(c))}
 _TABLE_BITS = 18
 
 
-def words(text: str | None) -> list[str]:
+def spaced(text: str | None) -> str:
+    """The words of a text in lower case, with nothing but blanks between them."""
     low = (text or "").lower()
     if low.isascii():
-        return low.translate(_BLANKS).split()
-    return (_MIXED if _HAS_SOLID.search(low) else _WORD).findall(low)
+        return low.translate(_BLANKS)
+    return " ".join((_MIXED if _HAS_SOLID.search(low) else _WORD).findall(low))
+
+
+def words(text: str | None) -> list[str]:
+    return spaced(text).split()
 
 
 def spelled(tokens: list[str]) -> tuple[str, np.ndarray]:
@@ -112,33 +118,37 @@ def _parts() -> np.ndarray:
     return np.where(np.arange(WALKS)[:, None] < WHOLE, 0, 1 + (ways & 1))
 
 
-class Hashes:
-    """64-bit hashes of each of the PARTS of words, a row each; those of distinct words are remembered up to a bound.
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    for odd, shift in zip(_MIX, (32, 29)):
+        hashes *= odd
+        hashes ^= hashes >> np.uint64(shift)
+    return hashes
 
-    Only one task's tables and texts are held together, and Spark gives all workers one hash seed.
-    """
-
-    def __init__(self):
-        self.number = Numbers()
-        self.rows = np.zeros((len(PARTS), 1 << 12), np.uint64)
 
-    def of(self, tokens: list[str]) -> np.ndarray:
-        if len(self.number) > MEMO:
-            self.number = Numbers()
-        start, self.number.new = len(self.number), []
-        each = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
-        new, end = self.number.new, len(self.number)
-        if end > self.rows.shape[1]:
-            grown = np.zeros((len(PARTS), 2 * end), np.uint64)
-            grown[:, :start] = self.rows[:, :start]
-            self.rows = grown
-        for row, part in zip(self.rows, PARTS):
-            row[start:end] = np.fromiter(map(hash, new if part == slice(None) else [w[part] for w in new]), np.int64, len(new)).view(np.uint64)
-        return self.rows.take(each, axis=1)
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each of the PARTS of all words of spaced texts, a row each, and the number of words up to the end of each text.
 
-
-def hashes_of(tokens: list[str]) -> np.ndarray:
-    return Hashes().of(tokens)
+    A word's hash is a polynomial in its letters, those of a part are packed; no word becomes an object of its own.
+    """
+    joined = f" {' '.join(lines)}   "
+    letters = np.frombuffer(joined.encode(), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = letters != 32
+    edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    starts, stops = edges[::2], edges[1::2]
+    out = np.zeros((len(PARTS), len(starts)), np.uint64)
+    ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1))
+    if not len(starts):
+        return out, ends
+    lengths = stops - starts
+    offsets = np.cumsum(lengths) - lengths
+    powers = np.cumprod(np.full(lengths.max(), _BASE))
+    terms = powers[np.arange(lengths.sum(), dtype=np.int32) - np.repeat(offsets.astype(np.int32), lengths)]
+    terms *= letters[letter]
+    np.add.reduceat(terms, offsets, out=out[0])
+    for row, first in ((1, starts), (2, np.maximum(starts, stops - PART))):
+        for k in range(PART):
+            out[row] |= np.where(first + k < stops, letters[np.minimum(first + k, len(letters) - 1)], 0).astype(np.uint64) << np.uint64(21 * k)
+    return _mixed(out), ends
 
 
 def embed(hashes: np.ndarray, walk: int, family: Family = FAMILIES[0], count: bool = False) -> tuple[np.ndarray, ...]:
@@ -185,7 +195,6 @@ class Index:
         self.words = [words(t) for _, t in items]
         self.texts = [spelled(w)[0] for w in self.words]
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        self.hashes = Hashes()
         self.short: dict[int, dict[tuple, list[int]]] = {}
         keys: dict[tuple, list] = {}
         for k, tokens in enumerate(self.words):
@@ -195,7 +204,7 @@ class Index:
             if n < MIN_WORDS:
                 continue
             family = next(f for f in FAMILIES if n >= f.words)
-            line = np.concatenate((self.hashes.of(tokens), _FILL), axis=1)
+            line = np.concatenate((hashed([" ".join(tokens)])[0], _FILL), axis=1)
             for walk in range(WALKS):
                 key, seen, different = embed(line, walk, family, True)
                 # a key of too few different words cannot tell passages apart
@@ -343,10 +352,9 @@ def _places(index: Index, hashes: np.ndarray, ends: np.ndarray, similarity: floa
 
 def matches(index: Index, texts: list[str | None], similarity: float) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, first token, tokens) of every text and item that verify, the best place of each."""
-    token_lists = [words(t) for t in texts]
-    ends = np.cumsum([len(w) for w in token_lists])
-    flat = [w for tokens in token_lists for w in tokens]
-    if not flat:
+    spread = [spaced(t) for t in texts]
+    hashes, ends = hashed(spread)
+    if not hashes.size:
         return []
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     lines: dict[int, tuple[str, list[int]]] = {}
@@ -371,11 +379,11 @@ def matches(index: Index, texts: list[str | None], similarity: float) -> list[tu
                 keep(text, k, distance, low + max(0, end - len(pattern)))
 
     waiting = []
-    for text, k, first, last, slack in _places(index, index.hashes.of(flat), ends, similarity):
+    for text, k, first, last, slack in _places(index, hashes, ends, similarity):
         if found.get((text, k), (1,))[0] == 0:
             continue
         if text not in lines:
-            lines[text] = spelled(token_lists[text])
+            lines[text] = spelled(spread[text].split())
         line, starts = lines[text]
         high = last + len(index.words[k]) + slack
         low = starts[max(0, first - slack)]
@@ -389,8 +397,9 @@ def matches(index: Index, texts: list[str | None], similarity: float) -> list[tu
             verify(waiting)
             waiting = []
     verify(waiting)
-    for n, sequences in index.short.items():
-        for text, tokens in enumerate(token_lists):
+    for text, line in enumerate(spread if index.short else ()):
+        tokens = line.split()
+        for n, sequences in index.short.items():
             for p in range(len(tokens) - n + 1):
                 for k in sequences.get(tuple(tokens[p : p + n]), ()):
                     found.setdefault((text, k), (0, p, n))
