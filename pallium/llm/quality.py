@@ -12,6 +12,7 @@ that grade; without ratings the grade is null; an empty table gives an empty res
 
 import math
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
@@ -29,6 +30,8 @@ LOW_N, HIGH_N = 3, 5
 #: Bound of the fitting sample: rated rows.
 FIT_ROWS = 5_000
 ROUNDS = 120
+#: Features of rows, of all rows of a block together, for which a round of fitting makes temporary arrays.
+BLOCK = 1 << 20
 RATE = 0.05
 DECAY = 1e-4
 #: Most distinct grades; ratings beyond that are refused rather than binned.
@@ -112,7 +115,7 @@ class Features:
             distinct, n = np.unique(found, return_counts=True)
             numbers.append(distinct)
             values.append(BUCKET * n if weight is None else weight * n / max(1, len(found)))
-        return np.concatenate(numbers).astype(np.int64), np.concatenate(values)
+        return np.concatenate(numbers).astype(np.int32), np.concatenate(values).astype(np.float32)
 
 
 @dataclass
@@ -133,34 +136,50 @@ class Model:
         return self.grades[0] + tails @ np.diff(self.grades)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], rank: np.ndarray, grades: np.ndarray, shares: np.ndarray) -> Model:
-    """Maximum likelihood by Adam; thresholds stay ordered as a first one plus exponentials."""
+def fit(rows: Iterable[tuple[np.ndarray, np.ndarray]], rank: np.ndarray, grades: np.ndarray, shares: np.ndarray) -> Model:
+    """Maximum likelihood by Adam; thresholds stay ordered as a first one plus exponentials.
+
+    The driver holds eight bytes a feature of a row; what a round needs besides is made for BLOCK features at a time.
+    """
     below = np.clip(np.cumsum(shares)[:-1], 1e-6, 1 - 1e-6)
     start = np.log(below / (1 - below))
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
-    flat = np.concatenate([n for n, _ in rows])
-    values = np.concatenate([v for _, v in rows])
-    of_row = np.repeat(np.arange(len(rows)), [len(n) for n, _ in rows])
-    used, flat = np.unique(flat, return_inverse=True)
+    numbers, values = map(list, zip(*rows))
+    lengths, n = np.array([len(x) for x in numbers]), len(numbers)
+    values, seen, place = np.concatenate(values), np.zeros(SIZE, bool), np.zeros(SIZE, np.int32)
+    for x in numbers:
+        seen[x] = True
+    used = np.flatnonzero(seen)
+    place[used] = np.arange(len(used))
+    flat = np.concatenate([place[x] for x in numbers])
+    del numbers
+    ends = np.cumsum(lengths)
+    bounds = [0, *np.searchsorted(ends, np.arange(BLOCK, ends[-1], BLOCK)).tolist(), n]
+    blocks = [(a, b, slice(ends[a] - lengths[a], ends[b - 1])) for a, b in zip(bounds, bounds[1:]) if a < b]
     size, k = len(used), len(grades) - 1
     p = np.concatenate((np.zeros(size), [start[0]], gaps))
     first, second = np.zeros_like(p), np.zeros_like(p)
-    row = np.arange(len(rows))
+    row, at = np.arange(n), np.zeros(n)
     for t in range(1, ROUNDS + 1):
         steps = np.exp(p[size + 1 :])
         cut = np.concatenate(([-np.inf], p[size] + np.concatenate(([0.0], np.cumsum(steps))), [np.inf]))
-        at = np.bincount(of_row, values * p[flat], len(rows))
+        for a, b, part in blocks:
+            at[a:b] = np.add.reduceat(values[part] * p[flat[part]], ends[a:b] - lengths[a:b] - part.start)
         with np.errstate(over="ignore"):
             up, low = 1 / (1 + np.exp(at - cut[rank + 1])), 1 / (1 + np.exp(at - cut[rank]))
         chance = np.maximum(up - low, 1e-12)
-        d_up, d_low = up * (1 - up) / chance / len(rows), low * (1 - low) / chance / len(rows)
+        d_up, d_low = up * (1 - up) / chance / n, low * (1 - low) / chance / n
         slope_at = d_up - d_low
-        by_cut = np.zeros((len(rows), k + 2))
+        by_cut = np.zeros((n, k + 2))
         by_cut[row, rank + 1] -= d_up
         by_cut[row, rank] += d_low
         cuts = by_cut.sum(0)[1:-1]
         later = np.cumsum(cuts[::-1])[::-1]
-        slope = np.concatenate((np.bincount(flat, values * slope_at[of_row], size) + DECAY * p[:size], [later[0]], later[1:] * steps))
+        slope = DECAY * p
+        for a, b, part in blocks:
+            slope[:size] += np.bincount(flat[part], values[part] * np.repeat(slope_at[a:b], lengths[a:b]), size)
+        slope[size:] = later
+        slope[size + 1 :] *= steps
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         p -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
@@ -184,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     features = Features()
     if not found:
         return Model(grades, np.zeros(SIZE), np.log(np.cumsum(n)[:-1] / (n.sum() - np.cumsum(n)[:-1])))
-    return fit([features.row(r["_text"]) for r in found], np.searchsorted(grades, [r["_grade"] for r in found]), grades, n / n.sum())
+    return fit((features.row(r["_text"]) for r in found), np.searchsorted(grades, [r["_grade"] for r in found]), grades, n / n.sum())
 
 
 def score_column(docs: DataFrame, model: Model, cut: float | None = None):
