@@ -311,43 +311,44 @@ class Network:
         return cls(*(p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cuts[:-1]), shapes)))
 
     def hidden(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Vectors of a line that WINDOW classes begin and end, which places between hold a token, and their hidden layer and a one."""
-        x = self.vectors[line]
+        """Vectors, as columns, of a line that WINDOW classes begin and end, which places between hold a token, and their hidden layer and a one."""
+        x = np.ascontiguousarray(self.vectors.T).take(line, axis=1)
         n = len(line) - 2 * WINDOW
         real = np.flatnonzero(line[WINDOW : WINDOW + n] != VOCAB)
-        total = np.broadcast_to(self.start, (n, HIDDEN)).copy()
+        total = np.repeat(self.start[:, None], n, axis=1)
         for scale, p in zip(self.scales, PLACES):
-            total += scale * x[WINDOW + p : WINDOW + p + n]
+            total += scale[:, None] * x[:, WINDOW + p : WINDOW + p + n]
         out = np.ones((len(real), HIDDEN + 1), np.float32)
-        np.tanh(total[real], out=out[:, :-1])
+        out[:, :-1] = np.tanh(total[:, real]).T
         return x, real, out
 
-    def _softmaxes(self, hidden, tokens):
-        """(group or None, rows, probabilities, targets, log-probability of the targets) of the coarse and each fine softmax."""
-        group, inner = tokens // SIDE, tokens % SIDE
-        yield None, *self._softmax(hidden, self.coarse, np.arange(len(tokens)), group)
+    def _softmaxes(self, hidden, tokens, chances: bool = True):
+        """(group or None, rows, probabilities or None, targets, log-probability of the targets) of the coarse and each fine softmax."""
+        group, inner = np.divmod(tokens.astype(np.uint16), np.uint16(SIDE))  # small numbers are ordered by counting
+        yield None, *self._softmax(hidden, self.coarse, np.arange(len(tokens)), group, chances)
         order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(SIDE + 1))
+        edges = np.concatenate(([0], np.cumsum(np.bincount(group, minlength=SIDE))))
         for c in range(SIDE):
             rows = order[edges[c] : edges[c + 1]]
             if len(rows):
-                yield c, *self._softmax(hidden[rows], self.fine[c], rows, inner[rows])
+                yield c, *self._softmax(hidden[rows], self.fine[c], rows, inner[rows], chances)
 
     @staticmethod
-    def _softmax(hidden, weights, rows, target):
+    def _softmax(hidden, weights, rows, target, chances):
         logits = hidden @ weights
         np.minimum(logits, 60, out=logits)  # exp stays finite
         chance = np.exp(logits)
         total = chance.sum(1, keepdims=True)
         log = logits[np.arange(len(rows)), target] - np.log(total[:, 0])
-        chance /= total
-        return rows, chance, target, log
+        if chances:
+            chance /= total
+        return rows, chance if chances else None, target, log
 
     def log_probabilities(self, line: np.ndarray) -> np.ndarray:
         """Log-probability of each token of a line, see `hidden`."""
         _, real, hidden = self.hidden(line)
         out = np.zeros(len(real), np.float32)
-        for _, rows, _, _, log in self._softmaxes(hidden, line[WINDOW : len(line) - WINDOW][real]):
+        for _, rows, _, _, log in self._softmaxes(hidden, line[WINDOW : len(line) - WINDOW][real], False):
             out[rows] += log
         return out
 
@@ -366,15 +367,14 @@ class Network:
             else:
                 back[rows] += slope @ self.fine[c].T
                 slopes[4][c] = hidden[rows].T @ slope
-        down = np.zeros((n, HIDDEN), np.float32)
-        down[real] = (back * (1 - hidden**2))[:, :-1]
-        slopes[2] = down.sum(0)
+        down = np.zeros((HIDDEN, n), np.float32)
+        down[:, real] = (back * (1 - hidden**2))[:, :-1].T
+        slopes[2] = down.sum(1)
         slopes[1], spread = np.zeros_like(self.scales), np.zeros_like(x)
         for k, p in enumerate(PLACES):
-            slopes[1][k] = np.einsum("ij,ij->j", down, x[WINDOW + p : WINDOW + p + n])
-            spread[WINDOW + p : WINDOW + p + n] += self.scales[k] * down
-        flat = (line[:, None] * HIDDEN + np.arange(HIDDEN)).ravel()
-        slopes[0] = np.bincount(flat, spread.ravel(), (VOCAB + 1) * HIDDEN).reshape(VOCAB + 1, HIDDEN).astype(np.float32)
+            slopes[1][k] = np.einsum("ij,ij->i", down, x[:, WINDOW + p : WINDOW + p + n])
+            spread[:, WINDOW + p : WINDOW + p + n] += self.scales[k][:, None] * down
+        slopes[0] = np.stack([np.bincount(line, row, VOCAB + 1) for row in spread], axis=1).astype(np.float32)
         for weights, held, slope in zip(self.parts(), sums.parts(), slopes):
             slope *= places
             held += slope * slope
