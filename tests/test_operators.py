@@ -278,3 +278,21 @@ def test_expansion_reads_the_text_only_once_and_refuses(spark):
     assert got == {1: (True, False, "to <B_1> > end"), 2: (False, False, None), 3: (False, False, None), 4: (True, True, None), 5: (False, False, None), 6: (True, False, "plain > text")}
     errors = {r["i"]: r["e"]["error"] for r in found}
     assert errors[2].startswith("credential") and errors[3].startswith("unknown") and errors[4].startswith("no value") and "already" in errors[5]
+
+
+def test_elements_of_a_page_are_moved_once(spark):
+    pages = html.nodes(spark.createDataFrame([(1, PAGE), (2, CHAT)], "page_id long, html string"))
+    for df in (elements.admitted(pages), elements.snapshots(elements.admitted(pages)), elements.counted(pages)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and plan.count("MapInArrow") == 1
+    held = elements.snapshot_counts(pages, elements.admitted(pages))
+    assert sorted(map(tuple, elements.counted(pages).collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_names_by_their_sources(spark):
+    page = """<body><b id=x>Ex</b><b id=x>later</b><b id=y>Why</b><input id=1 aria-labelledby=" y  x zz"><label for=2>One</label><input id=2><label for=2>Two</label>
+    <label>out <label>in <input id=3></label></label><div>Near</div><section><div><textarea id=4></textarea></div></section><div>far<button>b</button></div><div contenteditable id=5></div>
+    <div role=row id=6><span>9:15 h</span><strong>Row</strong></div>"""
+    rows = {r["attrs"]["id"]: r for r in elements.named(html.nodes(spark.createDataFrame([(1, page)], "page_id long, html string"))).filter("attrs['id'] is not null").collect()}
+    assert [rows[k]["name"] for k in "123456"] == ["Why Ex", "One Two", "in", "Near", "Near", "Row"]
+    assert rows["2"]["before"] == "One" and rows["1"]["before"] == "Why" and rows["6"]["nearby"] is None
