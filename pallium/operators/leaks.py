@@ -5,6 +5,8 @@ Values meet the texts of their own scope only, by an equi-join on the scope.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,18 +27,27 @@ def escaped(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """The join on equal keys, null being equal to null; the keys are left's."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    return left.join(other, same, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def leak_kind(text: Column, value: Column) -> Column:
-    """'exact', 'compact' or null. Digits must not be part of a longer run of digits."""
-    bounded = F.rlike(text, F.concat(F.lit("(?<![0-9])"), escaped(value), F.lit("(?![0-9])")))
-    exact = F.when(is_digits(value), bounded).otherwise(F.contains(text, value))
-    small, flat = compact(value), compact(text)
-    loose = (F.length(small) >= LEAST_COMPACT) & F.contains(flat, small)
+    """'exact', 'compact' or null. Digits, set apart or not, must not be part of a longer run of digits."""
+    small = compact(value)
+    edge = F.lit("(?:(?<![0-9])|(?![0-9]))")  # not between two digits
+    digits = lambda body: F.concat(edge, body, edge)
+    exact = F.when(is_digits(small), F.rlike(text, digits(escaped(value)))).otherwise(F.contains(text, value))
+    apart = F.rlike(F.lower(text), digits(F.array_join(F.split(small, ""), "[^a-z0-9ऀ-ॿ]*")))
+    loose = (F.length(small) >= LEAST_COMPACT) & F.when(is_digits(small), apart).otherwise(F.contains(compact(text), small))
     return F.when((F.length(value) >= LEAST_EXACT) & exact, "exact").when((F.length(value) >= LEAST_EXACT) & loose, "compact")
 
 
 def leaks(texts: DataFrame, vault: DataFrame, scope: str, text: str = "text") -> DataFrame:
     """(scope, placeholder, category, kind): values of the vault found in a text of their scope."""
-    joined = texts.select(scope, F.col(text).alias("_text")).join(vault, scope)
+    joined = join_on(texts.select(scope, F.col(text).alias("_text")), vault, [scope])
     found = joined.withColumn("kind", leak_kind(F.col("_text"), F.col("value"))).filter("kind is not null")
     return found.groupBy(scope, "placeholder", "category").agg(F.min(F.struct((F.col("kind") == "compact").alias("o"), F.col("kind"))).alias("k")).select(scope, "placeholder", "category", "k.kind")
 
@@ -78,9 +89,14 @@ def redact_against(text: Column, entries: Column) -> Column:
 
 
 def outbound(texts: DataFrame, vault: DataFrame, scope: str, text: str = "text") -> DataFrame:
-    """texts with `safe` and `status`: values of the scope's vault replaced, then scanned; a leak closes the row."""
+    """texts with `safe`, `status` and `leaked`: values of the scope's vault replaced, then scanned; a leak closes the row.
+
+    leaked: the placeholders of the values that are still found.
+    """
     entries = vault.groupBy(scope).agg(F.collect_list(F.struct("placeholder", "value")).alias("_vault"))
-    rows = texts.join(entries, scope, "left")
+    rows = join_on(texts, entries, [scope], "left")
     safe = rows.withColumn("_safe", redact_against(F.col(text), F.col("_vault")))
-    leaky = F.exists(F.coalesce("_vault", F.array().cast("array<struct<placeholder:string,value:string>>")), lambda e: leak_kind(F.col("_safe"), e["value"]).isNotNull())
-    return safe.withColumns({"status": F.when(leaky, "leak").otherwise("ok"), "safe": F.when(~leaky, F.col("_safe"))}).drop("_vault", "_safe")
+    found = F.filter(F.coalesce("_vault", F.array().cast("array<struct<placeholder:string,value:string>>")), lambda e: leak_kind(F.col("_safe"), e["value"]).isNotNull())
+    leaked = safe.withColumn("leaked", found["placeholder"])
+    leaky = F.size("leaked") > 0
+    return leaked.withColumns({"status": F.when(leaky, "leak").otherwise("ok"), "safe": F.when(~leaky, F.col("_safe"))}).drop("_vault", "_safe")

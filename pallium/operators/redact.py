@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pallium.functions import catalog
 from pallium.functions.text import ELLIPSIS, name_bearing, scan_window
+from pallium.operators.leaks import join_on
 from pallium.operators.spans import HIT, find_values
 
 #: The text fields of an element, in the order in which they are redacted.
@@ -58,7 +59,8 @@ def redact(
 ) -> Redaction:
     """Redact string rows. A text that ends in an ellipsis becomes one placeholder, as its end is unknown.
 
-    limit None scans whole texts; `scan_window`'s default keeps to the first 4000 characters.
+    limit None scans whole texts; `scan_window`'s default keeps to the first 4000 characters. Rows of the same place are
+    told apart by a digest of their texts, and a null scope is a scope like any other.
     """
     strings = strings.withColumn("_text", scan_window(F.col(value), None))  # once, not for each matcher
     text = F.col("_text")
@@ -73,13 +75,14 @@ def redact(
     )
     part = text if limit is None else F.substring("_text", 1, limit)
     hits = find_values(part, policy, F.col(context) if context else None, F.col(admit) if admit else None, scanned=True)
-    rows = strings.select(scope, F.col(pos).alias("pos"), F.col(field_pos).alias("field_pos"), text.alias("text"), F.when(text.endswith(ELLIPSIS), F.array(whole)).otherwise(hits).cast(f"array<{HIT}>").alias("hits"))
+    rows = strings.select(scope, F.col(pos).alias("pos"), F.col(field_pos).alias("field_pos"), text.alias("text"), F.md5(text).alias("digest"), F.when(text.endswith(ELLIPSIS), F.array(whole)).otherwise(hits).cast(f"array<{HIT}>").alias("hits"))
     # explode_outer: for explode the optimiser adds a filter on the array, and so finds the hits a second time
-    found = rows.select(scope, "pos", "field_pos", F.explode_outer("hits").alias("h")).filter("h is not null").select(scope, "pos", "field_pos", "h.category", "h.confidence", "h.start", "h.length", "h.raw")
+    key = [scope, "pos", "field_pos", "digest"]
+    found = rows.select(*key, F.explode_outer("hits").alias("h")).filter("h is not null").select(*key, "h.category", "h.confidence", "h.start", "h.raw")
     minted = mint(found, scope)
-    entry = F.struct("start", "length", "placeholder")
-    by_text = minted.groupBy(scope, "pos", "field_pos").agg(F.array_sort(F.collect_list(entry)).alias("cuts"))
-    joined = rows.join(by_text, [scope, "pos", "field_pos"], "left")
+    entry = F.struct("start", F.length("raw").alias("length"), "placeholder")
+    by_text = minted.groupBy(*key).agg(F.array_sort(F.collect_set(entry)).alias("cuts"))  # equal rows have equal cuts
+    joined = join_on(rows, by_text, key, "left")
     texts = joined.select(scope, "pos", "field_pos", splice(F.col("text"), F.col("cuts")).alias("redacted"))
     vault = minted.filter(~catalog.one_way(F.col("category"))).groupBy(scope, "placeholder").agg(F.first("category").alias("category"), F.first("raw").alias("value"))
     records = minted.select(scope, "pos", "field_pos", "start", "placeholder", "category", "confidence", "reused", (catalog.one_way(F.col("category")) & ~F.col("reused")).alias("one_way"))
@@ -87,17 +90,22 @@ def redact(
 
 
 def mint(found: DataFrame, scope: str) -> DataFrame:
-    """Hits (scope, pos, field_pos, category, confidence, start, length, raw) with `placeholder` and `reused`.
+    """Hits (scope, pos, field_pos, category, confidence, start, raw) with `placeholder` and `reused`.
+
+    A column `digest` tells texts of the same place apart.
 
     Two windows over hits, not texts: the first by value, the second by token within a scope.
     """
-    order = F.struct("pos", "field_pos", (-F.col("start")).alias("right"))
+    place = [c for c in ("pos", "field_pos", "digest") if c in found.columns]
+    order = F.struct(*place, (-F.col("start")).alias("right"))
     by_value = Window.partitionBy(scope, "category", "raw")
-    seen = found.withColumns({"_order": order, "token": catalog.token(F.col("category"))})
+    # until the end the place is kept in one struct: all who read hits then need the same columns, and share one search
+    seen = found.withColumns({"_order": order, "token": catalog.token(F.col("category"))}).drop(*place, "start")
     seen = seen.withColumn("_first", F.min("_order").over(by_value))
     ranked = seen.withColumn("_n", F.dense_rank().over(Window.partitionBy(scope, "token").orderBy("_first", "category", "raw")))
     placeholder = F.concat(F.lit("<"), F.col("token"), F.lit("_"), F.col("_n").cast("string"), F.lit(">"))
-    return ranked.withColumns({"placeholder": placeholder, "reused": F.col("_order") != F.col("_first")}).drop("_order", "_first", "_n", "token")
+    back = {c: F.col("_order")[c] for c in place} | {"start": -F.col("_order")["right"]}
+    return ranked.withColumns({"placeholder": placeholder, "reused": F.col("_order") != F.col("_first"), **back}).drop("_order", "_first", "_n", "token")
 
 
 def splice(text, cuts):

@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from pallium import queries
 from pallium.functions import catalog, checksums, text
 from pallium.functions.matchers import MATCHERS
 from pallium.operators import leaks, redact, spans
@@ -200,3 +202,43 @@ def test_credentials_and_phones_are_found_beside_mail_and_cards(spark):
     rows = [(1, "and password=b7db7aa4a5fcc78305 of a@b.example"), (2, 'token = "373e80f4fc42f278a10f9d58d9086463398fa5cb"')]
     found = spans.spans(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", limit=None).orderBy("doc_id", "start").collect()
     assert [(r["category"], r["raw"]) for r in found] == [("password", "password=b7db7aa4a5fcc78305"), ("email", "a@b.example"), ("phone", "9086463398")]
+
+
+@pytest.mark.parametrize(
+    "value,text_,kind",
+    [("98765 43210", "no 198765 432109", None), ("4111111111111111", "ref 94111 1111 1111 11112", None), ("98765 43210", "no 1 98765/43210.", "compact"), ("9876543210", "a9876 543210b", "compact"), ("98765 43210", "no 98765 43210", "exact"), ("(1234)", "5(1234)6", "exact")],
+)
+def test_digits_leak_only_as_a_run_of_their_own(spark, value, text_, kind):
+    assert spark.range(1).select(leaks.leak_kind(F.lit(text_), F.lit(value)).alias("k")).first()["k"] == kind
+
+
+def test_rows_of_one_place_and_null_scopes_are_redacted(spark):
+    texts = [(20, "mail one@a.example here"), (20, "a longer start, then mail two@b.example"), (21, "same s@a.example"), (21, "same s@a.example"), (None, "mail nul@l.example")]
+    done = redact.redact(strings(spark, [(scope, 0, 0, t) for scope, t in texts]), "page")
+    got = sorted((r["page"] or 0, r["redacted"]) for r in done.texts.collect())
+    assert [(p, re.sub("[12]>", "n>", t)) for p, t in got] == [
+        (0, "mail <EMAIL_n>"), (20, "a longer start, then mail <EMAIL_n>"), (20, "mail <EMAIL_n> here"), (21, "same <EMAIL_n>"), (21, "same <EMAIL_n>")
+    ]
+    vault = {(r["page"], r["placeholder"]): r["value"] for r in done.vault.collect()}
+    assert len(vault) == 4 and {vault[20, re.search("<.*>", t)[0]] for p, t in got if p == 20} == {"one@a.example", "two@b.example"}
+    before = spark.createDataFrame(texts, "page long, text string")
+    assert sorted((r["page"] or 0, r["kind"]) for r in leaks.leaks(before, done.vault, "page").collect()) == [(0, "exact"), (20, "exact"), (20, "exact"), (21, "exact")]
+
+
+def test_leak_scan_after_redaction_on_odd_texts(spark, tmp_path):
+    texts = [
+        (1, "card 4111111111111111, ref 94111111111111111999999"),
+        (2, "call 98765 43210 or 198765 432109, 9876 543210"),
+        (3, "mail user@example.com and User @ example . com"),
+        (4, "mail a@b.example " + "x" * 250 + "a@b.example"),
+        (5, "card 4111 1111 1111 1111 and 4111.1111.1111.1111"),
+        (6, "mail one@a.example here"),
+        (6, "a longer start, then mail two@b.example"),
+        (None, "mail nul@l.example"),
+        (7, None),
+    ]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert tuple(queries.leak_scan_after_redaction(spark, str(tmp_path)).first()) == (0, len(texts))
+    # what the vault can't replace is still reported
+    spark.createDataFrame([(1, "call 98765 43210, 98765/43210"), (2, "mail a@b.example")], "doc_id long, text string").write.parquet(f"{tmp_path}/left/documents.parquet")
+    assert tuple(queries.leak_scan_after_redaction(spark, f"{tmp_path}/left").first()) == (1, 2)
